@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ftrl, langid
+from . import bpe, ftrl, langid
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer file on this machine; the files are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.encode_decode(docs, tokenizer_file("word_bpe_49k.json"), ["doc_id"]).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import fold_of
 
@@ -29,5 +44,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.classified(docs, ftrl.quality_model(docs, _table(spark, sf_dir, "labels")), 4, 2)
 
 
-QUERIES = {"op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op4_bpe": op4_bpe, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
