@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ftrl, langid
+from . import bpe, ftrl, langid, tokenfile
+from .common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +22,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}/tokens"
+    files = tokenfile.write(_table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"))
+    return tokenfile.read(spark, files)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, tokenizer_file("word_bpe_49k.json"), ["doc_id"]).select(
@@ -44,5 +53,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.classified(docs, ftrl.quality_model(docs, _table(spark, sf_dir, "labels")), 4, 2)
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op2_token_files": op2_token_files, "op4_bpe": op4_bpe, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
