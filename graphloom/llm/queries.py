@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ftrl, langid, tokenfile
+from . import bpe, decontaminate, ftrl, langid, repeats, tokenfile
 from .common import shared_dir
 
 
@@ -35,6 +35,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select(
@@ -65,5 +70,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.classified(docs, ftrl.quality_model(docs, _table(spark, sf_dir, "labels")), 4, 2)
 
 
-QUERIES = {"op2_token_files": op2_token_files, "op4_bpe": op4_bpe, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op2_token_files": op2_token_files, "op4_bpe": op4_bpe, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
