@@ -168,6 +168,7 @@ class WordBpe:
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
         buf = np.frombuffer(b"".join(words), np.uint8)
+        spans = C.Spans(buf)
         at, active = ends - sizes, np.arange(len(words))
         got_word, got_rank = [], []
         while len(active):
@@ -179,7 +180,7 @@ class WordBpe:
                 if not len(open_):
                     continue
                 s = at[active[open_]]
-                h = C.spans_hash(buf, s, s + size)
+                h = spans.hash(s, s + size)
                 h ^= np.where((left[open_] == size) & bool(self.suffix), _END, np.uint64(0))
                 r = self.tokens.get(h)
                 hit = r >= 0

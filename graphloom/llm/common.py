@@ -102,13 +102,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, from prefix sums of a polynomial modulo 2**64."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(table[buf] * _powers(_P, len(buf)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(_P_INV, len(buf) + 1)[starts] + (ends - starts).astype(np.uint64))
+class Spans:
+    """64-bit hashes of byte spans, from prefix sums of a polynomial modulo 2**64 that are built once for a buffer."""
+
+    def __init__(self, buf: np.ndarray, table: np.ndarray = _BYTE):
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(table[buf] * _powers(_P, len(buf)), out=self.sums[1:])
+        self.back = _powers(_P_INV, len(buf) + 1)
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
+
+def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the bytes of each span."""
+    return Spans(buf).hash(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def runs(kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
