@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ftrl, jaccard, langid, repeats, tokenfile
+from . import bpe, decontaminate, ftrl, jaccard, langid, multiprobe, repeats, tokenfile
 from .common import shared_dir
 
 
@@ -22,6 +22,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.search(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}/tokens"
     files = tokenfile.write(_table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"))
@@ -74,5 +78,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.classified(docs, ftrl.quality_model(docs, _table(spark, sf_dir, "labels")), 4, 2)
 
 
-QUERIES = {"op2_token_files": op2_token_files, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op1_multiprobe_ann": op1_multiprobe_ann, "op2_token_files": op2_token_files, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
