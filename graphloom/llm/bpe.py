@@ -117,7 +117,9 @@ class WordBpe:
         h = C.spans_hash(np.frombuffer(b"".join(spans), np.uint8), ends - sizes, ends)
         self.tokens = SpanTable(h ^ np.where(finals, _END, np.uint64(0)), np.array(ranks, np.int32))
         self.longest = int(sizes.max())
-        self.token_bytes = [t.encode() for t in self.names]
+        shown = [t.encode() + b" " for t in self.names]
+        self.names_flat = np.frombuffer(b"".join(shown), np.uint8)
+        self.name_at = np.concatenate([[0], np.cumsum([len(t) for t in shown])])
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the two tokens, side by side, stay as they are under merging."""
@@ -217,9 +219,14 @@ class WordBpe:
         return out
 
     def entries(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per word its ids, and the bytes of its decoded tokens, each with one blank after it."""
-        names = self.token_bytes
-        return [(self.ids[r], np.frombuffer(b"".join([names[t] + b" " for t in r.tolist()]), np.uint8)) for r in self.encode_words(words)]
+        """Ids of the words, and the bytes of their decoded tokens, each with one blank after it; with their sizes."""
+        ranks = self.encode_words(words)
+        sizes = np.fromiter(map(len, ranks), np.int64, len(ranks))
+        flat = np.concatenate(ranks)
+        width = self.name_at[flat + 1] - self.name_at[flat]
+        at = np.repeat(self.name_at[flat] - (np.cumsum(width) - width), width)
+        at += np.arange(len(at))
+        return [(self.ids[flat], sizes), (self.names_flat[at], np.add.reduceat(width, np.cumsum(sizes) - sizes))]
 
 
 class Codec:

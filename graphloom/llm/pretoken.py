@@ -18,23 +18,27 @@ import numpy as np
 from . import common as C
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-_CLASSES: np.ndarray | None = None
 
 
-def classes() -> np.ndarray:
-    """The class of every code point, by its general category; unassigned ones are OTHER here (see ``doubtful``)."""
-    global _CLASSES
-    if _CLASSES is None:
-        table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-        for code in range(sys.maxunicode + 1):
-            group = unicodedata.category(chr(code))[0]
-            if group == "L":
-                table[code] = LETTER
-            elif group == "N":
-                table[code] = NUMBER
-        table[[*map(ord, "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"), *range(0x2000, 0x200B)]] = SPACE
-        _CLASSES = table
-    return _CLASSES
+def class_of(code: int) -> int:
+    """The class of a code point, by its general category; unassigned ones are OTHER here (see ``doubtful``)."""
+    if code in _SPACES:
+        return SPACE
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(code))[0], OTHER)
+
+
+_SPACES = {*map(ord, "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"), *range(0x2000, 0x200B)}
+_LATIN = np.array([class_of(c) for c in range(0x250)], np.uint8)
+
+
+def classes_of(codes: np.ndarray) -> np.ndarray:
+    """The class of every code point; those beyond Latin are looked up once for each distinct one."""
+    out = _LATIN[np.minimum(codes, 0x24F)]
+    far = np.flatnonzero(codes > 0x24F)
+    if len(far):
+        distinct, at = np.unique(codes[far], return_inverse=True)
+        out[far] = np.array([class_of(c) if c <= sys.maxunicode else OTHER for c in distinct.tolist()], np.uint8)[at]
+    return out
 
 
 #: Beyond Latin letters the Unicode versions of two libraries may differ: texts with such characters are looked at closer.
@@ -48,8 +52,7 @@ def doubtful(text: str) -> bool:
 
 def kinds_of(buf: np.ndarray) -> np.ndarray:
     """The class of the character that each UTF-8 byte belongs to."""
-    table = classes()
-    kinds = table[:256][buf]
+    kinds = _LATIN[buf]
     lead = np.flatnonzero(buf >= 0xC0)
     if len(lead):
         pad = np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.uint32)
@@ -60,7 +63,7 @@ def kinds_of(buf: np.ndarray) -> np.ndarray:
             (b0 & 31) << 6 | (b1 & 63),
             np.where(three, (b0 & 15) << 12 | (b1 & 63) << 6 | (b2 & 63), (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | (b3 & 63)),
         )
-        kind = table[np.minimum(code, sys.maxunicode)]
+        kind = classes_of(code)
         kinds[lead] = kind
         kinds[lead + 1] = kind
         for k, more in ((2, ~two), (3, ~three)):
@@ -117,9 +120,12 @@ def split(buf: np.ndarray, offs: np.ndarray, spaced: bool) -> tuple[np.ndarray,
 
 
 class WordCache:
-    """Piece -> rows of one or more ragged pools, by open addressing over 64-bit hashes."""
+    """Piece -> rows of one or more ragged pools, by open addressing over 64-bit hashes.
+
+    encode gives, for each pool, the entries of the new pieces one after the other, and their sizes.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[tuple[np.ndarray, ...]]], dtypes: tuple, bits: int = 20, limit: int = 500_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], dtypes: tuple, bits: int = 20, limit: int = 500_000):
         self.encode, self.dtypes, self.bits, self.limit = encode, dtypes, bits, limit
         self.clear()
 
@@ -127,7 +133,7 @@ class WordCache:
         self.hash = np.zeros(1 << self.bits, np.uint64)
         self.slot = np.zeros(1 << self.bits, np.int32)
         self.n = 0
-        self.check = np.zeros(self.limit, np.uint64)
+        self.check = np.zeros(self.limit, np.uint64)  # pages that are never touched take no memory
         self.starts = [np.zeros(self.limit + 1, np.int64) for _ in self.dtypes]
         self.pools = [np.zeros(1 << 20, d) for d in self.dtypes]
 
@@ -185,13 +191,13 @@ class WordCache:
             made = self.encode([raw[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
             slots = np.arange(self.n, self.n + len(fresh))
             for k, pool in enumerate(self.pools):
-                sizes = np.fromiter((len(m[k]) for m in made), np.int64, len(made))
+                flat, sizes = made[k]
                 begin = self.starts[k][self.n]
                 total = int(begin + sizes.sum())
                 if total > len(pool):
                     pool = self.pools[k] = np.concatenate([pool, np.zeros(max(total - len(pool), len(pool)), pool.dtype)])
                 if total > begin:
-                    pool[begin:total] = np.concatenate([m[k] for m in made])
+                    pool[begin:total] = flat
                 self.starts[k][self.n + 1 : self.n + 1 + len(fresh)] = begin + np.cumsum(sizes)
             self.check[slots] = check[fresh]
             self.n += len(fresh)

@@ -38,18 +38,23 @@ class Damaged(ValueError):
 
 
 class _Mixer:
+    """The shared model of a block. A context's entry is its predicted id, shifted by 3 bits, and its confidence."""
+
     def __init__(self, vocab: int, lanes: int):
         self.vocab = vocab
         self.count = np.zeros(vocab, np.int64)
         self.seen = self.due = 0
-        self.p1, self.c1 = np.zeros(vocab + 1, np.int32), np.zeros(vocab + 1, np.uint8)
-        self.p2, self.c2 = np.zeros(1 << _TABLE2, np.int32), np.zeros(1 << _TABLE2, np.uint8)
+        self.new: list[np.ndarray] = []
+        self.t1, self.t2 = np.zeros(vocab + 1, np.int32), np.zeros(1 << _TABLE2, np.int32)
         self.gate = np.tile(np.array([1, 1, 2], np.int64), ((_CONF + 1) ** 2, 1))
-        self.prev1, self.prev2 = np.full(lanes, vocab, np.int64), np.full(lanes, vocab, np.int64)
+        self.prev1, self.prev2 = np.full(lanes, vocab, np.int32), np.full(lanes, vocab, np.int32)
         self._order0()
 
     def _order0(self) -> None:
         scale = (1 << _BITS0) - self.vocab
+        for ids in self.new:
+            self.count += np.bincount(ids, minlength=self.vocab)
+        self.new = []
         freq = 1 + (self.count * scale // max(self.seen, 1))
         freq[int(freq.argmax())] += (1 << _BITS0) - int(freq.sum())
         self.freq = freq
@@ -62,25 +67,28 @@ class _Mixer:
         return self.slots
 
     def predict(self, n: int):
-        """For the first n lanes: order-2 id, order-1 id, and the gate's three shares (of 2**_GATE) as first, second."""
+        """For the first n lanes: order-2 id, order-1 id, and the first two of the gate's three shares (of 2**_GATE)."""
         a = self.prev1[:n]
-        self.at2 = (a * 0x9E3779B1 + self.prev2[:n] * 0x85EBCA77 >> 7) & ((1 << _TABLE2) - 1)
-        self.k1, self.k2 = self.c1[a], self.c2[self.at2]
-        self.y1, self.y2 = self.p1[a], self.p2[self.at2]
-        self.kind = self.k2.astype(np.int64) * (_CONF + 1) + self.k1
-        shares = 1 + self.gate[:, :2] * ((1 << _GATE) - 3) // self.gate.sum(1, keepdims=True)
-        return self.y2, self.y1, shares[self.kind, 0], shares[self.kind, 1]
+        self.at2 = (a * np.int32(-1640531535) ^ self.prev2[:n] * np.int32(-2048144777)).view(np.uint32) >> np.uint32(32 - _TABLE2)
+        self.e1, self.e2 = self.t1[a], self.t2[self.at2]
+        self.kind = (self.e2 & _CONF) * (_CONF + 1) + (self.e1 & _CONF)
+        total = self.gate.sum(1)
+        shares = 1 + self.gate[:, :2] * ((1 << _GATE) - 3) // total[:, None]
+        both = (shares[:, 0] << 10 | shares[:, 1])[self.kind]
+        return self.e2 >> 3, self.e1 >> 3, both >> 10, both & 1023
 
     def update(self, n: int, ids: np.ndarray, source: np.ndarray) -> None:
-        a = self.prev1[:n]
-        for y, k, p, c, at in ((self.y1, self.k1, self.p1, self.c1, a), (self.y2, self.k2, self.p2, self.c2, self.at2)):
-            hit = y == ids
-            p[at] = np.where(hit | (k > 1), y, ids)  # of equal contexts in a step the last lane counts
-            c[at] = np.where(hit, np.minimum(k + 1, _CONF), k >> 1)
+        a = self.prev1[:n].copy()
+        ids = ids.astype(np.int32)
+        for e, table, at in ((self.e1, self.t1, a), (self.e2, self.t2, self.at2)):
+            k = e & _CONF
+            miss = np.where(k > 1, e - k, ids << 3) | k >> 1
+            # of equal contexts in a step the last lane counts
+            table[at] = np.where(e >> 3 == ids, e + (k < _CONF), miss)
         self.gate += np.bincount(self.kind * 3 + source, minlength=self.gate.size).reshape(self.gate.shape)
         self.prev2[:n] = a
         self.prev1[:n] = ids
-        self.count += np.bincount(ids, minlength=self.vocab)
+        self.new.append(ids)
         self.seen += n
         if self.seen >= self.due:
             self.due = self.seen + max(self.seen // 4, 4 * LANES)

@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +52,32 @@ class LibraryEncoder:
         self.library.no_padding()
         self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.cache = WordCache(self._words, (np.uint32,), limit=500_000)
-
-    def _words(self, words: list[bytes]):
-        got = self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [(np.array(e.ids, np.uint32),) for e in got]
+        vocab = self.library.get_vocab()
+        self.widths = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character for every byte
+        for token, i in vocab.items():
+            self.widths[i] = len(token)
+        self.cache = WordCache(self._words, (np.uint32,), bits=22, limit=2_000_000)
+
+    def _words(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of new pieces. Pieces of a blank and letters go to the library 256 in a row, which splits them again."""
+        texts = [w.decode() for w in words]
+        plain = np.array([t[0] == " " and t[1:].isalpha() for t in texts], bool)
+        rows, odd = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        groups = [rows[k : k + 256] for k in range(0, len(rows), 256)]
+        got = self.library.encode_batch_fast(["".join([texts[i] for i in g]) for g in groups] + [texts[i] for i in odd], add_special_tokens=False)
+        lists = [e.ids for e in got]
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+        # words in the library's order; a word ends where the bytes of its tokens do
+        order = np.array(rows + odd, np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))[order]
+        last = np.searchsorted(np.cumsum(self.widths[flat]), np.cumsum(size)) + 1
+        counts = np.diff(last, prepend=0)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[order] = counts
+        begin = np.cumsum(sizes) - sizes
+        out = np.empty(len(flat), np.uint32)
+        out[np.repeat(begin[order] - (last - counts), counts) + np.arange(len(flat))] = flat
+        return [(out, sizes)]
 
     def run(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the number for each text; end closes each text."""
