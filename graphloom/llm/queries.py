@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ftrl, jaccard, langid, multiprobe, repeats, tokenfile
+from . import bpe, decontaminate, ftrl, jaccard, langid, multiprobe, repeats, secrets, tokenfile
 from .common import shared_dir
 
 
@@ -73,10 +73,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.classified(docs, ftrl.toxicity_model(docs, _table(spark, sf_dir, "labels")), 3, 1)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(_table(spark, sf_dir, "documents"), ["doc_id"])
+    spans = F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.array_join(spans, ",").alias("spans"), F.coalesce(F.array_max(F.transform("secrets", lambda s: s["score"])), F.lit(0.0)).alias("top_score"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return ftrl.classified(docs, ftrl.quality_model(docs, _table(spark, sf_dir, "labels")), 4, 2)
 
 
-QUERIES = {"op1_multiprobe_ann": op1_multiprobe_ann, "op2_token_files": op2_token_files, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op10_quality": op10_quality}
+QUERIES = {"op1_multiprobe_ann": op1_multiprobe_ann, "op2_token_files": op2_token_files, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op9_secret_scan": op9_secret_scan, "op10_quality": op10_quality}
 ORACLES: dict[str, str] = {}
