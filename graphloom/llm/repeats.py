@@ -11,8 +11,11 @@ return, unchanged. Suffixes start at words. The suffixes of the corpus are split
    prefix doubling: suffixes are classed by their first PREFIX words, then by longer and longer
    prefixes, as one walks down the levels of the trees. The inner nodes at depth ``window`` or more with two
    or more leaves are the repeats; the flags of their suffixes are the result.
-3. A prefix with more than ``hot`` occurrences is not gathered into any group. It is prolonged to the
-   full window: its suffixes are counted by the whole window's hash, with partial aggregation and skew joins.
+3. A prefix with more than ``hot`` occurrences is prolonged before anything is gathered: windows that
+   start near the anchor share a longer run to its right, the others a longer run to its left. The longer
+   prefixes are counted as the first ones were, those that occur once are dropped, and the rest are
+   treated as in 2. Prefixes still above ``hot`` are prolonged to the full window: their suffixes are
+   counted by the whole window's hash, with partial aggregation, and never gathered.
 4. The flags go back to their texts, which are joined a second time, and the covered words are dropped.
 
 A text is known by a 64-bit key of its id and content; anchors sent back to a text are checked against
@@ -97,7 +100,10 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 def repeated_windows(rows: DataFrame, window: int, hot: int) -> DataFrame:
     """(_key, _at): word positions at which a window starts that also starts elsewhere; rows has _key and _text."""
-    back = window - min(PREFIX, window)
+    size = min(PREFIX, window)
+    back = window - size
+    half = (back + 1) // 2
+    near = window - half + 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,27 +142,24 @@ def repeated_windows(rows: DataFrame, window: int, hot: int) -> DataFrame:
                 keys = np.asarray(part.column("_key"))
                 lo, hi = np.maximum(at - back, bounds[row]), np.minimum(at + window, bounds[row + 1])
                 raw = memoryview(buf.tobytes())
-                cold = np.flatnonzero(~is_hot)
-                text = [bytes(raw[x:y]) for x, y in zip(starts[lo[cold]].tolist(), ends[hi[cold] - 1].tolist(), strict=True)]
-                if len(cold):
-                    yield pa.RecordBatch.from_arrays(
-                        [_i64(anchor[cold]), _i64(keys[row[cold]]), pa.array((lo - bounds[row])[cold].astype(np.int32)), pa.array((at - lo)[cold].astype(np.int32)), pa.array(text, pa.binary()), pa.nulls(len(cold), pa.int64())],
-                        ["anchor", "_key", "first", "skip", "stretch", "whole"],
-                    )
-                warm = np.flatnonzero(is_hot)
-                if len(warm):
-                    count = np.maximum(hi[warm] - window - lo[warm] + 1, 0)
-                    which = np.repeat(warm, count)
-                    begin = np.repeat(lo[warm] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    whole = run_hashes(h, window)[begin]
-                    # the offset from the anchor is part of the prolonged prefix
-                    head = C.mix(anchor[which] + (at[which] - begin).astype(np.uint64) * _Q)
-                    yield pa.RecordBatch.from_arrays(
-                        [_i64(head), _i64(keys[row[which]]), pa.array((begin - bounds[row[which]]).astype(np.int32)), pa.nulls(len(which), pa.int32()), pa.nulls(len(which), pa.binary()), _i64(whole)],
-                        ["anchor", "_key", "first", "skip", "stretch", "whole"],
-                    )
-
-    sent = rows.join(spots, "_key").mapInArrow(stretches, "anchor long, _key long, first int, skip int, stretch binary, whole long")
+
+                def piece(which, prefix, lo, hi, raw=raw, starts=starts, ends=ends, keys=keys, row=row, at=at, bounds=bounds):
+                    text = [bytes(raw[x:y]) for x, y in zip(starts[lo].tolist(), ends[hi - 1].tolist(), strict=True)]
+                    cols = [_i64(prefix), _i64(keys[row[which]]), pa.array((lo - bounds[row[which]]).astype(np.int32)), pa.array((at[which] - lo).astype(np.int32)), pa.array(text, pa.binary()), pa.array(is_hot[which])]
+                    return pa.RecordBatch.from_arrays(cols, ["prefix", "_key", "first", "skip", "stretch", "hot"])
+
+                which = np.flatnonzero(~is_hot)
+                if len(which):
+                    yield piece(which, anchor[which], lo[which], hi[which])
+                which = np.flatnonzero(is_hot & (hi >= at + near))
+                if len(which):  # windows that start less than half before the anchor share the near words from it on
+                    yield piece(which, C.mix(run_hashes(h, near)[at[which]] + np.uint64(1)), np.maximum(lo[which], at[which] - half + 1), hi[which])
+                which = np.flatnonzero(is_hot & (lo <= at - half))
+                if len(which):  # the others share the words from half before it to its end
+                    yield piece(which, C.mix(run_hashes(h, half + size)[at[which] - half] + np.uint64(2)), lo[which], np.minimum(hi[which], at[which] - half + window))
+
+    sent = C.stored(rows.join(spots, "_key").mapInArrow(stretches, "prefix long, _key long, first int, skip int, stretch binary, hot boolean"), "stretches")
+    C.discard(marks)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -165,36 +168,49 @@ def repeated_windows(rows: DataFrame, window: int, hot: int) -> DataFrame:
                 continue
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table])
-            anchor = np.asarray(table.column("anchor"))
-            cut = int(np.searchsorted(anchor, anchor[-1], "left"))  # the last prefix may go on in the next batch
+            prefix = np.asarray(table.column("prefix"))
+            cut = int(np.searchsorted(prefix, prefix[-1], "left"))  # the last prefix may go on in the next batch
             if cut:
                 yield from _deep(table.slice(0, cut), window)
             held = table.slice(cut)
         if held is not None and held.num_rows:
             yield from _deep(held, window)
 
-    sent = C.stored(sent, "stretches")
-    cold = sent.where("whole is null").select("anchor", "_key", "first", "skip", "stretch")
-    cold = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trees, "_key long, _at int")
-    whole = sent.where("whole is not null").select("anchor", "whole", "_key", F.col("first").alias("_at"))
-    twice = whole.distinct().groupBy("anchor", "whole").agg(F.count("*").alias("n"))
-    same = rows.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key")  # repeated rows: copies by themselves
-    warm = whole.join(twice.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("_key", "_at")
-    warm = warm.unionByName(whole.join(same, "_key", "left_semi").select("_key", "_at"))
-    return cold.unionByName(warm)
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, row, offset = _suffixes(batch.column("prefix"), batch.column("skip"), batch.column("stretch"), window)
+            key, first = (np.asarray(batch.column(c)).astype(np.int64)[row] for c in ("_key", "first"))
+            yield pa.RecordBatch.from_arrays([_i64(node), _i64(key), pa.array((first + offset).astype(np.int32))], ["node", "_key", "_at"])
+
+    columns = ["prefix", "_key", "first", "skip", "stretch"]
+    longer = sent.where("hot")
+    again = longer.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
+    longer = longer.join(again, "prefix")
+    gathered = sent.where("not hot").select(columns).unionByName(longer.where(F.col("n") <= hot).select(columns))
+    gathered = gathered.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(trees, "_key long, _at int")
+    full = longer.where(F.col("n") > hot).select(columns).mapInArrow(wholes, "node long, _key long, _at int")
+    twice = full.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    return gathered.unionByName(full.join(twice, "node", "left_semi").select("_key", "_at"))
+
+
+def _suffixes(prefix: pa.Array, skip: pa.Array, stretch: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node at depth window, row, word offset) of every suffix of the stretches that holds a whole window."""
+    _, _, _, h, bounds = _words(stretch)
+    leaves = np.maximum(np.diff(bounds) - window + 1, 0)
+    row = np.repeat(np.arange(len(leaves)), leaves)
+    offset = np.arange(leaves.sum()) - np.repeat(np.cumsum(leaves) - leaves, leaves)
+    if not len(row):
+        return np.zeros(0, np.uint64), row, offset
+    node = run_hashes(h, window)[bounds[row] + offset]
+    place = (np.asarray(skip).astype(np.int64)[row] - offset).astype(np.uint64)
+    return C.mix(node + np.asarray(prefix).view(np.uint64)[row] * np.uint64(3)) + place * _Q, row, offset
 
 
 def _deep(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     """Suffixes of the stretches that lie below an inner node of depth window or more of their prefix's tree."""
-    _, _, _, h, bounds = _words(table.column("stretch").combine_chunks())
-    anchor = np.asarray(table.column("anchor")).view(np.uint64)
-    key, first, skip = (np.asarray(table.column(c)).astype(np.int64) for c in ("_key", "first", "skip"))
-    size = np.diff(bounds)
-    leaves = np.maximum(size - window + 1, 0)
-    row = np.repeat(np.arange(len(size)), leaves)
-    offset = np.arange(leaves.sum()) - np.repeat(np.cumsum(leaves) - leaves, leaves)
-    node = run_hashes(h, window)[bounds[row] + offset] if len(row) else np.zeros(0, np.uint64)
-    node = C.mix(node + anchor[row] * np.uint64(3)) + (skip[row] - offset).astype(np.uint64) * _Q
+    table = table.combine_chunks()
+    node, row, offset = _suffixes(*(table.column(c).chunk(0) for c in ("prefix", "skip", "stretch")), window)
+    key, first = (np.asarray(table.column(c)).astype(np.int64) for c in ("_key", "first"))
     order = np.argsort(node, kind="stable")
     ranked = node[order]
     twin = np.zeros(len(node), bool)
