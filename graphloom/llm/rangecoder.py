@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 
-LANES, STEPS = 4096, 256
+LANES, STEPS = 8192, 256
 BLOCK = LANES * STEPS
 _GATE, _BITS0 = 8, 20  # bits of the gate's and the order-0 distribution
 _TOTAL = np.uint64(_GATE + _BITS0)
