@@ -1 +1,33 @@
+"""SQL functions over the graph: registered as SQL-bodied temporary functions, so that no Python runs per row."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom import __version__
+
+_COSINE = """CASE WHEN size(a) = size(b)
+  AND sqrt(aggregate(a, 0D, (s, x) -> s + double(x) * double(x))) * sqrt(aggregate(b, 0D, (s, x) -> s + double(x) * double(x))) > 0
+  THEN aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)
+   / (sqrt(aggregate(a, 0D, (s, x) -> s + double(x) * double(x))) * sqrt(aggregate(b, 0D, (s, x) -> s + double(x) * double(x))))
+  ELSE 0D END"""
+
+
+def register(spark: SparkSession) -> None:
+    """kg_cosine_similarity, kg_bit_count and kg_version for spark.sql."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION kg_cosine_similarity(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN {_COSINE}")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kg_bit_count(x BIGINT) RETURNS INT RETURN coalesce(bit_count(x), 0)")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION kg_version() RETURNS STRING RETURN '{__version__}'")
+
+
+def bit_count(column: Column | str) -> Column:
+    return F.coalesce(F.bit_count(column), F.lit(0))
+
+
+def stats_json(entities: DataFrame, relations: DataFrame) -> str:
+    from graphloom.operators.traverse import graph_stats
+
+    return json.dumps(graph_stats(entities, relations).first().asDict())
