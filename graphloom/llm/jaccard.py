@@ -7,8 +7,9 @@ Chosen path: a class's set is represented by ``COORDS`` min-hash samples of its
 each path picks ``BRANCH`` sample positions by hashing itself; a class follows each picked position with
 its token there, so that classes that agree on it share the longer path. Buckets of two to ``LIMIT``
 classes are compared by brute force on 4-bit sketches; larger ones are split recursively, up to ``DEPTH``
-levels. What is larger still at the last level is compared in square blocks of ``BLOCK`` classes, in
-parallel tasks, so that no bucket is gathered into one task and none is capped. Runs are repeated
+levels, unless their members are alike on average: such buckets, and what is larger still at the last
+level, are compared in square blocks of ``BLOCK`` classes, in parallel tasks, so that no bucket is
+gathered into one task and none is capped. Runs are repeated
 until the computed recall of a pair at the threshold, after DEPTH levels, reaches ``recall``.
 
 Candidates are verified on their whole shingle sets: exact Jaccard similarity, at least ``threshold``.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .repeats import run_hashes
 
-COORDS, BRANCH, LIMIT, DEPTH, BLOCK = 64, 3, 64, 4, 256
+COORDS, BRANCH, LIMIT, DEPTH, BLOCK = 64, 3, 256, 4, 512
 _rng = np.random.default_rng(90210)
 _MULT = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -154,19 +156,21 @@ def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame
     """Distinct pairs of classes that share a chosen path and look alike; classes has cls and sig."""
     least = max(1, int(COORDS * (threshold + (1 - threshold) / 16 - 0.22)))  # about 3.5 deviations below a pair at the threshold
     rows = _paths(classes, False, runs_needed(threshold, recall))
-    found = None
+    found, spent = [], []
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        shared = rows.join(sizes, "path")
+        shared = C.stored(rows.join(sizes, "path"), f"level-{level}")
         small = shared.where(F.col("n") <= LIMIT).groupBy("path").agg(F.collect_list(F.struct("cls", "sketch")).alias("members"))  # at most LIMIT
-        pairs = _bucket_pairs(small.select("members"), least, False)
-        found = pairs if found is None else found.unionByName(pairs)
-        large = C.stored(shared.where(F.col("n") > LIMIT).select("path", "cls", "sketch", "n"), f"large-{level}")
+        found.append(C.stored(_bucket_pairs(small.select("members"), least, False), f"pairs-{level}"))
+        spent.append(shared)
+        large = shared.where(F.col("n") > LIMIT)
         if large.isEmpty():
             break
+        sparse = None
         if level < DEPTH:
-            rows = C.stored(_paths(large.select("path", "cls").join(classes, "cls"), True), f"paths-{level}")
-            continue
+            judged = C.stored(_dense(large, threshold), f"dense-{level}")
+            sparse = large.join(judged.where("not dense"), "path").select("path", "cls")
+            large = large.join(judged.where("dense"), "path").select("path", "cls", "sketch", "n")
         side = F.ceil(F.col("n") / BLOCK)
         mine = F.pmod(F.xxhash64("cls"), side)
         spread = large.select("path", "cls", "sketch", mine.alias("me"), F.explode(F.sequence(F.lit(0), (side - 1).cast("int"))).alias("other"))
@@ -174,8 +178,38 @@ def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame
         squares = spread.groupBy("path", lo.alias("lo"), hi.alias("hi")).agg(
             F.collect_list(F.struct("cls", "sketch", F.when(F.col("me") == F.col("other"), 2).when(F.col("me") < F.col("other"), 0).otherwise(1).alias("side"))).alias("members")
         )  # about 2 * BLOCK: classes are hashed to the sides of the squares
-        found = found.unionByName(_bucket_pairs(squares.select("members"), least, True))
-    return found.distinct()
+        found.append(C.stored(_bucket_pairs(squares.select("members"), least, True).distinct(), f"squares-{level}"))
+        if sparse is None:
+            break
+        rows = C.stored(_paths(sparse.join(classes, "cls"), True), f"paths-{level}")
+        C.discard(spent.pop())
+        spent.append(rows)
+        if rows.isEmpty():
+            break
+    pairs = C.stored(reduce(DataFrame.unionByName, found).distinct(), "candidates")
+    for table in found + spent:
+        C.discard(table)
+    return pairs
+
+
+def _dense(large: DataFrame, threshold: float) -> DataFrame:
+    """(path, dense): whether a large bucket's members are alike on average, by about 16 of them.
+
+    Splitting such a bucket would only repeat its pairs on many paths, so it is compared at once, in squares.
+    """
+    some = large.where(F.pmod(F.xxhash64("cls", "path"), F.ceil(F.col("n") / 16)) == 0).groupBy("path").agg(F.collect_list("sketch").alias("some"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dense = []
+            for members in batch.column("some").to_pylist():
+                s = np.frombuffer(b"".join(members[:64]), np.uint8).reshape(-1, COORDS // 2)
+                i, j = np.triu_indices(len(s), 1)
+                dense.append(bool(len(i)) and float(_SAME[s[i] ^ s[j]].sum(1).mean()) / COORDS >= threshold / 2)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(dense, pa.bool_())], ["path", "dense"])
+
+    known = some.mapInArrow(run, "path long, dense boolean")
+    return large.select("path").distinct().join(known, "path", "left").select("path", F.coalesce("dense", F.lit(False)).alias("dense"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, per_block: int = 4000) -> DataFrame:
@@ -232,6 +266,24 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _smaller(told: DataFrame) -> DataFrame:
+    """The signatures' table without the signatures, once the classes hold them."""
+    small = C.stored(told.drop("sig"), "members")
+    C.discard(told)
+    return small
+
+
+def _mostly(rows: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows whose _key may be wanted, by one bit of a table of 2**bits: a broadcast of at most 2**(bits - 6) rows.
+
+    It keeps most other texts out of a shuffle; rows let through by chance go in the join that follows.
+    """
+    bit = F.pmod("_key", F.lit(1 << bits))
+    words = wanted.select(F.shiftright(bit, 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(_key, {1 << bits}) & 63 as int))").alias("m")).groupBy("_word").agg(F.bit_or("m").alias("_bits"))
+    hit = F.expr(f"(shiftright(_bits, cast(pmod(_key, {1 << bits}) & 63 as int)) & 1) = 1")
+    return rows.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(words), "_word").where(hit).drop("_word", "_bits")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.5, ngram: int = 2, recall: float = 0.99, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, class_id, group_id, n_links of every row."""
 
@@ -248,7 +300,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, ngram: int = 2, rec
     told = C.stored(rows.mapInArrow(sketch, "doc_id long, _key long, cls long, sig binary"), "signatures")
     some = told.where("cls is not null")
     classes = C.stored(some.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.min("_key").alias("_key")), "classes")
-    pairs = C.stored(candidates(classes.select("cls", "sig"), threshold, recall), "candidates")
+    told = _smaller(told)
+    pairs = candidates(classes.select("cls", "sig"), threshold, recall)
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "_key"), "cls")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +310,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, ngram: int = 2, rec
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([s.tobytes() for s in shingle_sets(part.column("_text"), ngram)], pa.binary())], ["cls", "grams"])
 
-    sets = rows.select("_key", "_text").join(wanted, "_key").select("cls", "_text").mapInArrow(grams, "cls long, grams binary")
+    sets = _mostly(rows.select("_key", "_text"), wanted).join(wanted, "_key").select("cls", "_text").mapInArrow(grams, "cls long, grams binary")
     links = C.stored(_verified(pairs, sets, threshold).distinct(), "links")
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     known = classes.select("cls", "class_id")
