@@ -97,7 +97,7 @@ class Windows:
                 many = self.first[k + 1] - self.first[k]
                 w = self.windows[np.repeat(self.first[k] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
                 start = np.repeat(pos, many) - self.offset[w]
-                row = C.np.searchsorted(bounds, np.repeat(pos, many), "right") - 1
+                row = np.searchsorted(bounds, np.repeat(pos, many), "right") - 1
                 ok = (start >= bounds[row]) & (start + self.size[w] <= bounds[row + 1])
                 w, start, row = w[ok], start[ok], row[ok]
                 for j in range(self.grid.shape[1]):
@@ -142,18 +142,43 @@ def _scanned(rows: DataFrame, items: list[tuple[str, str]], n: int, keep: list[s
     return rows.mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = 8, text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
-    """The columns keep, n_words, n_hit and items (ids as strings, sorted, of items with an occurring window)."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
+    """(whether it is the last, items) of each block of the benchmark, of about block_bytes at most."""
     bench = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
     total = bench.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     blocks = int(total // block_bytes) + 1
-    rows = docs.select(*keep, F.col(text).alias("_text"))
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        # a block is bounded by block_bytes (hashing spreads the items over the blocks)
-        items = [(r["i"], r["t"]) for r in part.distinct().collect()]
-        last = k == blocks - 1
-        rows = _scanned(rows, items, n, keep, carry=not last, first=k == 0)
+        yield k == blocks - 1, [(r["i"], r["t"]) for r in part.distinct().collect()]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = 8, text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """The columns keep, n_words, n_hit and items (ids as strings, sorted, of items with an occurring window)."""
+    rows, first = docs.select(*keep, F.col(text).alias("_text")), True
+    for last, items in _blocks(benchmark, block_bytes):
+        rows = _scanned(rows, items, n, keep, carry=not last, first=first)
+        first = False
         if not last:
-            rows = C.stored(rows, f"decontaminate-{k}")
+            rows = C.stored(rows, "decontaminate")
     return rows
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 8, text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """The rows, with all their columns, in which no window of any item occurs; a pass for each block, no shuffle."""
+    for last, items in _blocks(benchmark, block_bytes):
+        told = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            windows = Windows(told.value, n)
+            for batch in batches:
+                for a, b in C.chunks(batch, text):
+                    part = batch.slice(a, b - a)
+                    _, _, pairs = windows.scan(part.column(text))
+                    fine = np.ones(b - a, bool)
+                    fine[[r for r, _ in pairs]] = False
+                    yield part.filter(pa.array(fine))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = C.stored(docs, "decontaminate")
+    return docs

@@ -173,6 +173,20 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+def kept(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score at least this much. One pass, no shuffle."""
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, table = told.value, told.value.table()
+        for batch in batches:
+            for a, b in C.chunks(batch, text):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(m.score(part.column(text), table) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Quality keeps the case (shouting is a sign); toxicity folds it and adds skip-grams.
 QUALITY = Features(ngrams=2, skips=False, lower=False)
 TOXICITY = Features(ngrams=2, skips=True, lower=True)

@@ -284,8 +284,8 @@ def _mostly(rows: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
     return rows.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(words), "_word").where(hit).drop("_word", "_bits")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, ngram: int = 2, recall: float = 0.99, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, class_id, group_id, n_links of every row."""
+def _verdicts(docs: DataFrame, threshold: float, ngram: int, recall: float, text: str, id_col: str) -> DataFrame:
+    """doc_id, _key, cls, class_id, group_id, n_links, first_key (the key of its group's first row) of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,10 +299,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, ngram: int = 2, rec
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("_key"), F.col(text).alias("_text"))
     told = C.stored(rows.mapInArrow(sketch, "doc_id long, _key long, cls long, sig binary"), "signatures")
     some = told.where("cls is not null")
-    classes = C.stored(some.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.min("_key").alias("_key")), "classes")
+    classes = C.stored(some.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.first("sig").alias("sig"), F.min(_first()).alias("first")), "classes")
     told = _smaller(told)
     pairs = candidates(classes.select("cls", "sig"), threshold, recall)
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "_key"), "cls")
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", F.col("first._key").alias("_key")), "cls")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,11 +313,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, ngram: int = 2, rec
     sets = _mostly(rows.select("_key", "_text"), wanted).join(wanted, "_key").select("cls", "_text").mapInArrow(grams, "cls long, grams binary")
     links = C.stored(_verified(pairs, sets, threshold).distinct(), "links")
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
-    known = classes.select("cls", "class_id")
+    known = classes.select("cls", "class_id", "first")
     root = components(links).select(F.col("v").alias("cls"), "root")
     member = known.join(root, "cls").join(degree, "cls")
-    group = member.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    verdict = known.join(member.join(group, "root").select("cls", "group_id", "n_links"), "cls", "left")
-    return told.select("doc_id", "cls").join(verdict, "cls", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "class_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    group = member.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min("first").alias("group_first"))
+    verdict = known.join(member.join(group, "root").select("cls", "group_id", "group_first", "n_links"), "cls", "left")
+    return told.select("doc_id", "_key", "cls").join(verdict, "cls", "left").select(
+        "doc_id",
+        "_key",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("group_id", "class_id", "doc_id").alias("group_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("group_first._key", "first._key", "_key").alias("first_key"),
     )
+
+
+def _first():
+    """What orders the rows of a class or group: the smallest id, null ids last, then the smallest key."""
+    return F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_key")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.5, ngram: int = 2, recall: float = 0.99, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, class_id, group_id, n_links of every row."""
+    return _verdicts(docs, threshold, ngram, recall, text, id_col).select("doc_id", "class_id", "group_id", "n_links")
+
+
+def first_of_group(docs: DataFrame, threshold: float = 0.5, ngram: int = 2, recall: float = 0.99, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of every group, with all its columns: the smallest id's; texts without words are groups of their own."""
+    chosen = _verdicts(docs, threshold, ngram, recall, text, id_col).where("_key = first_key").select(F.col("_key").alias("_kept")).distinct()
+    keyed = docs.withColumn("_kept", F.xxhash64(F.col(id_col), F.col(text))).join(chosen, "_kept", "left_semi")
+    return keyed.dropDuplicates(["_kept"]).select(docs.columns)
