@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,27 +50,29 @@ def neighbors(hyperedges: DataFrame, entity_id: int, min_arity: int = 2, max_ari
     return bridge(own).where(F.col("entity_id") != entity_id).select("hyperedge_id", "entity_id", "position", "weight").orderBy(F.desc("weight"), "hyperedge_id", "position")
 
 
-def _levels(hyperedges: DataFrame, start: int, depth: int, min_arity: int) -> list[DataFrame]:
+def _levels(hyperedges: DataFrame, start: int, depth: int, min_arity: int) -> Iterator[DataFrame]:
     """Nodes at each depth with a key: heavier hyperedges first, then hyperedge id and position."""
     own = bridge(hyperedges.where(F.col("arity").between(min_arity, 100)))
     spark = hyperedges.sparkSession
     frontier = spark.createDataFrame([(start,)], "id long").select("id", F.array().cast("array<double>").alias("key"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("hyperedge_id"), F.lit(0).alias("depth"))
-    out, seen = [frontier], frontier.select("id")
+    yield frontier
+    seen = frontier.select("id")
     for level in range(1, depth + 1):
         via = own.select("hyperedge_id", F.col("entity_id").alias("id")).join(frontier.select("id", F.col("key").alias("pkey")), "id").select("hyperedge_id", F.col("id").alias("parent"), "pkey")
         step = own.join(via, "hyperedge_id").where(F.col("entity_id") != F.col("parent"))
         key = F.concat("pkey", F.array(-F.col("weight"), F.col("hyperedge_id").cast("double"), F.col("position").cast("double")))
         best = step.groupBy(F.col("entity_id").alias("id")).agg(F.min(F.struct(key.alias("key"), "parent", "hyperedge_id")).alias("w"))
-        frontier = best.join(seen, "id", "left_anti").select("id", "w.key", "w.parent", "w.hyperedge_id", F.lit(level).alias("depth"))
-        out.append(frontier)
+        frontier = cut(best.join(seen, "id", "left_anti").select("id", "w.key", "w.parent", "w.hyperedge_id", F.lit(level).alias("depth")))
+        yield frontier
+        if level == depth or frontier.isEmpty():
+            return
         seen = seen.unionByName(frontier.select("id"))
-    return out
 
 
 def bfs(hyperedges: DataFrame, start: int, depth: int, min_arity: int = 2) -> DataFrame:
     """entity_id and depth of what shares hyperedges within depth steps; the start is excluded."""
     check_depth(depth, 10)
-    parts = _levels(hyperedges, start, depth, min_arity)
+    parts = list(_levels(hyperedges, start, depth, min_arity))
     out = parts[0].limit(0)
     for p in parts[1:]:
         out = out.unionByName(p)

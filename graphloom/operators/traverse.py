@@ -7,11 +7,14 @@ which nodes are discovered needs no numbering of a whole level. Nothing is colle
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import cut
 from graphloom.schema import EntityNotFound, check_depth
 
 
@@ -33,27 +36,30 @@ def edges(relations: DataFrame, direction: Direction, rel_types: list[str] | Non
     return {Direction.OUTGOING: out, Direction.INCOMING: back, Direction.BOTH: out.unionByName(back)}[direction]
 
 
-def levels(start: int, links: DataFrame, depth: int) -> list[DataFrame]:
-    """The nodes first reached at each depth: id, key, parent, rel_type, weight, depth; level 0 is the start."""
+def levels(start: int, links: DataFrame, depth: int) -> Iterator[DataFrame]:
+    """The nodes first reached at each depth: id, key, parent, rel_type, weight, depth; level 0 is the start.
+
+    A level is checkpointed before the next one is planned, so plans don't grow with the depth; levels end
+    early when nothing new is reached.
+    """
     spark = links.sparkSession
     frontier = spark.createDataFrame([(start,)], "id long").select(
         "id", F.array().cast("array<bigint>").alias("key"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("rel_type"), F.lit(None).cast("double").alias("weight"), F.lit(0).alias("depth")
     )
-    found, seen = [frontier], frontier.select("id")
+    yield frontier
+    seen = frontier.select("id")
     for level in range(1, depth + 1):
         step = links.join(frontier.select(F.col("id").alias("node"), F.col("key").alias("pkey")), "node")
         best = step.groupBy(F.col("far").alias("id")).agg(F.min(F.struct(F.concat("pkey", F.array("dir", "rel_id")).alias("key"), F.col("node").alias("parent"), "rel_type", "weight")).alias("w"))
-        frontier = best.join(seen, "id", "left_anti").select("id", "w.key", "w.parent", "w.rel_type", "w.weight", F.lit(level).alias("depth"))
-        found.append(frontier)
+        frontier = cut(best.join(seen, "id", "left_anti").select("id", "w.key", "w.parent", "w.rel_type", "w.weight", F.lit(level).alias("depth")))
+        yield frontier
+        if level == depth or frontier.isEmpty():
+            return
         seen = seen.unionByName(frontier.select("id"))
-    return found
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def require(entities: DataFrame, entity_id: int) -> None:
@@ -65,7 +71,7 @@ def neighbors(entities: DataFrame, relations: DataFrame, start: int, depth: int)
     """Nodes within depth undirected hops, each once with the relation that discovered it; the start is excluded."""
     check_depth(depth, 5)
     require(entities, start)
-    reached = levels(start, edges(relations, Direction.BOTH), depth)[1:]
+    reached = list(levels(start, edges(relations, Direction.BOTH), depth))[1:]
     if not reached:
         return entities.select(F.col("id").alias("entity_id"), "entity_type", "name").withColumns({"depth": F.lit(0), "rel_type": F.lit(""), "weight": F.lit(0.0)}).limit(0)
     return _union(reached).join(entities.select("id", "entity_type", "name"), "id").select(F.col("id").alias("entity_id"), "entity_type", "name", "depth", "rel_type", "weight")
