@@ -99,7 +99,7 @@ def _i64(x: np.ndarray) -> pa.Array:
 
 
 def repeated_windows(rows: DataFrame, window: int, hot: int) -> DataFrame:
-    """(_key, _at): word positions at which a window starts that also starts elsewhere; rows has _key and _text."""
+    """(_key, _ats): word positions of a text at which a window starts that also starts elsewhere; rows has _key and _text."""
     size = min(PREFIX, window)
     back = window - size
     half = (back + 1) // 2
@@ -122,6 +122,8 @@ def repeated_windows(rows: DataFrame, window: int, hot: int) -> DataFrame:
         .groupBy("_key")
         .agg(F.collect_set(F.struct("at", "anchor", "hot")).alias("spots"))  # at most one for each word of one text
     )
+    spots = C.stored(spots, "spots")
+    C.discard(marks)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +161,7 @@ def repeated_windows(rows: DataFrame, window: int, hot: int) -> DataFrame:
                     yield piece(which, C.mix(run_hashes(h, half + size)[at[which] - half] + np.uint64(2)), lo[which], np.minimum(hi[which], at[which] - half + window))
 
     sent = C.stored(rows.join(spots, "_key").mapInArrow(stretches, "prefix long, _key long, first int, skip int, stretch binary, hot boolean"), "stretches")
-    C.discard(marks)
+    C.discard(spots)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -190,7 +192,10 @@ def repeated_windows(rows: DataFrame, window: int, hot: int) -> DataFrame:
     gathered = gathered.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(trees, "_key long, _at int")
     full = longer.where(F.col("n") > hot).select(columns).mapInArrow(wholes, "node long, _key long, _at int")
     twice = full.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    return gathered.unionByName(full.join(twice, "node", "left_semi").select("_key", "_at"))
+    found = gathered.unionByName(full.join(twice, "node", "left_semi").select("_key", "_at"))
+    flags = C.stored(found.groupBy("_key").agg(F.collect_set("_at").alias("_ats")), "flags")  # at most one for each word of one text
+    C.discard(sent)
+    return flags
 
 
 def _suffixes(prefix: pa.Array, skip: pa.Array, stretch: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,8 +228,7 @@ def _deep(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, hot: int = 20_000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The columns keep, n_words, n_removed and kept (the words left, joined by one blank) of every row."""
     rows = docs.select(*keep, F.xxhash64(F.col(id_col), F.col(text)).alias("_key"), F.col(text).alias("_text"))
-    found = repeated_windows(rows.select("_key", "_text"), window, hot)
-    flags = found.groupBy("_key").agg(F.collect_set("_at").alias("_ats"))  # at most one for each word of one text
+    flags = repeated_windows(rows.select("_key", "_text"), window, hot)
     joined = rows.join(flags, "_key", "left").select(*keep, "_text", "_ats")
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in keep)
 
