@@ -18,8 +18,19 @@ CUSTOMER, ORDER, ITEM, SUPPLIER, PART, REGION = 20_000_001, 50_000_001, 60_000_0
 K = 10
 
 
+_SOURCES: dict[tuple[str, str], Source] = {}
+
+
+def source(spark: SparkSession, sf_dir: str) -> Source:
+    """The graph of a directory; queries of one application share its tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SOURCES:
+        _SOURCES[key] = Source(spark, sf_dir)
+    return _SOURCES[key]
+
+
 def query(f: Callable[[Source], DataFrame]) -> Callable[[Source], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(Source(spark, sf_dir))
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(source(spark, sf_dir))
     return f
 
 

@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names (spark.checkpoint.dir); a local one only where none is named."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at:
+        at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        context.setCheckpointDir(at)
+    return at.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the shared folder that the session names; a local one is set only where none is."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+    """df, computed once, written to the shared folder and read back.
+
+    Unlike an eager checkpoint it isn't computed twice, is columnar, and its size is known to the planner, which
+    then broadcasts small frontiers and shuffles large ones.
+    """
+    path = f"{shared_dir(df.sparkSession)}/graphloom-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -39,7 +39,11 @@ class Source:
 
     # ------------------------------------------------------------------ entities
     def entities(self, *kinds: str) -> DataFrame:
-        """kg_entities of the given kinds (all by default)."""
+        """kg_entities of the given kinds; all of them, by default, are kept for the session once computed."""
+        if not kinds:
+            if "entities" not in self._seen:
+                self._seen["entities"] = self.entities(*ORDINALS).persist()
+            return self._seen["entities"]
         parts = [getattr(self, f"_{k}")() for k in (kinds or ORDINALS)]
         out = parts[0]
         for p in parts[1:]:
@@ -92,7 +96,11 @@ class Source:
 
     # ------------------------------------------------------------------ relations
     def relations(self, *rel_types: str) -> DataFrame:
-        """kg_relations of the given types (all by default)."""
+        """kg_relations of the given types; all of them, by default, are kept for the session once computed."""
+        if not rel_types:
+            if "relations" not in self._seen:
+                self._seen["relations"] = self.relations(*REL_TYPES).persist()
+            return self._seen["relations"]
         parts = [getattr(self, f"_{k}")() for k in (rel_types or REL_TYPES)]
         out = parts[0]
         for p in parts[1:]:
