@@ -60,6 +60,7 @@ def test_strong_components(spark):
     kg, at = build(spark, "ABCDEFG", [("A", "B", 1.0), ("B", "C", 1.0), ("C", "A", 1.0), ("C", "D", 1.0), ("D", "E", 1.0), ("E", "D", 1.0), ("E", "F", 1.0)])
     rows = {r["entity_id"]: r["component"] for r in kg.strongly_connected_components().collect()}
     assert rows == {at["A"]: at["A"], at["B"]: at["A"], at["C"]: at["A"], at["D"]: at["D"], at["E"]: at["D"], at["F"]: at["F"]}
+    assert {r["entity_id"]: r["component"] for r in algo.strong_components(kg.relations, max_exact=0).collect()} == rows
 
 
 def test_louvain_stays_inside_components(spark):
