@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 U64 = np.uint64
 
@@ -36,16 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage.
 
-    The shuffle files of the write are removed at its end; nothing reads them again.
+    The shuffle files of the write are removed at its end; nothing reads them again. Rows of whole texts go to
+    Python in smaller batches, which keeps the memory beside the heap low.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(_CLEANUP, None)
+    for_now = {_CLEANUP: "true", _BATCH: str(min(2000, int(spark.conf.get(_BATCH))))}
+    before = {k: spark.conf.get(k, None) for k in for_now}
     try:
-        spark.conf.set(_CLEANUP, "true")
+        for k, v in for_now.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
