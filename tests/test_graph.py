@@ -1,5 +1,7 @@
 """Micro-graphs with known answers, through the facade."""
 
+import random
+
 import pytest
 
 from graphloom import schema
@@ -74,6 +76,21 @@ def test_louvain_stays_inside_components(spark):
     assert len(spread) == 7 and spread[at["7"]] == at["7"]
 
 
+def test_louvain_is_whole_on_both_paths(spark):
+    r = random.Random(2)
+    ends = [(b * 10 + i, b * 10 + j) for b in range(8) for i in range(10) for j in range(10) if i != j and r.random() < 0.5]
+    ends += [(r.randrange(40), r.randrange(40)) for _ in range(25)] + [(r.randrange(40, 80), r.randrange(40, 80)) for _ in range(25)]
+    links = [(a, b, round(r.uniform(0.2, 1), 3)) for a, b in sorted(set(ends)) if a != b]  # two components of four blocks
+    kg, at = build(spark, [str(k) for k in range(80)], [(str(a), str(b), w) for a, b, w in links])
+    whole = algo._louvain([(at[str(a)], at[str(b)], w) for a, b, w in links], sum(w for *_, w in links))
+    smallest = {c: min(n for n in whole if whole[n] == c) for c in whole.values()}
+    exact = kg.louvain().localCheckpoint()
+    assert {x["entity_id"]: x["community"] for x in exact.collect()} == {n: smallest[c] for n, c in whole.items()}
+    q = lambda membership: algo.modularity(kg.relations, membership).first()["modularity"]
+    spread = algo.louvain(kg.entities, kg.relations, max_exact=0).localCheckpoint()
+    assert q(spread) > q(exact) - 0.02
+
+
 def test_bowtie_hypergraph(spark):
     kg, at = build(spark, [*"01234"])
     kg.insert_hyperedge([at["0"], at["1"], at["2"]], "team", 0.9)
