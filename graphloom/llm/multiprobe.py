@@ -105,7 +105,10 @@ def _top(query: np.ndarray, query_id: np.ndarray, x: np.ndarray, ids: np.ndarray
         d2[~mask] = np.inf
     out_q, out_v, out_d = [], [], []
     slack = 1e-9 * (1 + (query**2).sum(1) + float((x**2).sum(1).max(initial=0)))
-    near = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1] + slack
+    by_id = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[0]] - 1)) if len(ids) else by_id
+    each = d2 if len(first) == len(ids) else np.minimum.reduceat(d2[:, by_id], first, axis=1)  # the nearest row of each id
+    near = np.partition(each, min(k, each.shape[1]) - 1, axis=1)[:, min(k, each.shape[1]) - 1] + slack
     for i in range(len(query)):
         at = np.flatnonzero((d2[i] <= near[i]) & (d2[i] < np.inf))
         if len(at):

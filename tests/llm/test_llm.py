@@ -83,6 +83,23 @@ def test_multiprobe_recall_and_edges(spark):
     assert multiprobe.search(df.limit(0), lambda v: v % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", ["one id 31 times", "every row twice"])
+def test_repeated_ids_use_up_no_place(spark, copies):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    d = np.sqrt(((x - x[0]) ** 2).sum(1))
+    d[0] = np.inf
+    want = np.argsort(d)[:10].tolist()
+    ids = np.concatenate([np.arange(300), np.full(30, want[0]) if copies.startswith("one") else np.arange(300)])
+    _, v, dist = multiprobe._top(x[:1], np.array([0]), x[ids], ids, 10)
+    assert v.tolist() == want and np.allclose(dist, d[want])
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in ids], "vec_id long, embedding array<double>").coalesce(1)
+    got = multiprobe.exact(multiprobe.valid(df), np.array([0]), x[:1], 10).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == want
+    found = multiprobe.search(df, lambda v: v == 0).collect()
+    assert len({r["vec_id"] for r in found}) == 10 and len(set(want) & {r["vec_id"] for r in found}) >= 9
+
+
 def test_probe_template_is_in_order_and_valid():
     sets = multiprobe.template(6, 200)
     assert sets[0] == () and len(set(sets)) == 200
