@@ -2,13 +2,13 @@
 
 The kernel of two texts is the mean over n = 2..4 of the cosine of their byte n-gram presence
 sets (letters folded for ASCII, digits and punctuation one separator), the n-grams of the
-whole text hashed into one table of ``2**BITS`` places per n. ``landmarks`` training texts span the
-Nystroem space; one-versus-rest kernel ridge regression is solved in that space on a bounded
+whole text hashed into one table of ``2**BITS`` places per n. ``landmarks`` training texts, or one a language if there are more
+languages, span the Nystroem space, drawn from the languages in turn; one-versus-rest kernel ridge regression is solved in that space on a bounded
 sample of at most ``per_class`` training texts per language. A score is a product of a batch's kernel
 matrix with the dual weights. The broadcast model is landmarks x 3 x 2**BITS bits at most and
-languages x landmarks numbers: bounded by parameters, not by the corpus.
+languages x landmarks numbers: bounded by parameters and the number of languages, not by the rows.
 
-The languages are those of the training rows; null texts and texts without a letter are ``und``
+The languages are all those of the training rows; null texts and texts without a letter are ``und``
 with score 0. Ties go to the smaller language name. Training rows with null lang are ignored.
 A corpus without training rows answers ``und`` throughout. Repeated rows are judged one by one.
 """
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,40 +75,47 @@ class Model:
         return sum(_unit(a) @ b for a, b in zip(m, z, strict=True)) / len(ORDERS)
 
 
-def fit(docs: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 1000, landmarks: int = 96, max_langs: int = 64, ridge: float = 1e-2) -> Model:
+def fit(docs: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 1000, landmarks: int = 96, ridge: float = 1e-2) -> Model:
     """Trains on texts outside the held fold, at most per_class a language, the smallest id hashes first."""
+    blank = Model([], [], np.zeros((0, 0)), np.zeros(0))
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.fold_of("doc_id", modulus) != held)).select("doc_id", "lang")
-    langs = sorted(r["lang"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
-    ids = None
-    for lang in langs:
-        part = train.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
-        return Model([], [], np.zeros((0, 0)), np.zeros(0))
-    ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    picked = docs.join(F.broadcast(ids), (docs["doc_id"] == ids["_id"]) & (docs["lang"] == ids["_lang"])).select("lang", "text")
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = train.withColumn("_n", place).where(F.col("_n") <= per_class).groupBy(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).agg(F.min("_n").alias("_n"))
+    # at most per_class short rows a language
+    picked = C.stored(docs.join(F.broadcast(ids), (docs["doc_id"] == ids["_id"]) & (docs["lang"] == ids["_lang"])).select("lang", "text", "_n"), "picked")
+    count = {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}
+    langs = sorted(count)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("_n", "text"))
+    marks = picked.where(F.col("text").rlike(r"\pL")).groupBy("lang", "text").agg(F.min("_n").alias("_n")).withColumn("_turn", turn)
+    marks = [r["text"] for r in marks.where(F.col("_turn") <= landmarks).orderBy("_turn", "lang").limit(max(landmarks, len(langs))).collect()]
+    if not marks:
+        return blank
+    points = presence(pa.array(marks, pa.string()))
+    told = docs.sparkSession.sparkContext.broadcast((points, langs, count))
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, langs, count = told.value
+        z = [_unit(x).T.copy() for x in points]
+        at = {lang: n for n, lang in enumerate(langs)}
+        a, b = np.zeros((z[0].shape[1], z[0].shape[1])), np.zeros((z[0].shape[1], len(langs)))
         for batch in batches:
-            for a, b in C.chunks(batch, "text"):
-                part = batch.slice(a, b - a)
-                packed = np.packbits(np.concatenate(presence(part.column("text")), axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([x.tobytes() for x in packed], pa.binary())], ["lang", "bits"])
-
-    got = sorted((r["lang"], bytes(r["bits"])) for r in picked.mapInArrow(extract, "lang string, bits binary").collect())
-    bits = np.unpackbits(np.frombuffer(b"".join(x for _, x in got), np.uint8).reshape(len(got), -1), axis=1).astype(bool)
-    m = [bits[:, k << BITS : (k + 1) << BITS] for k in range(len(ORDERS))]
-    y = np.array([[1.0 if lang == one else 0.0 for one in langs] for lang, _ in got])
-    at = np.random.default_rng(11).permutation(len(got))[:landmarks]
-    z = [_unit(x[at]).T for x in m]
-    blank = Model(langs, [x[at] for x in m], np.zeros((len(at), len(langs))), np.zeros(len(langs)))
-    k_nm, k_mm = blank.kernel(m, z).astype(float), blank.kernel([x[at] for x in m], z).astype(float)
-    mean = y.mean(0)
-    weight = 1 / y.sum(0)[y.argmax(1)]  # languages count alike
-    a = k_nm.T @ (k_nm * weight[:, None]) + ridge * k_mm / len(langs) + 1e-6 * np.eye(len(at))
-    blank.dual = np.linalg.solve(a, k_nm.T @ ((y - mean) * weight[:, None]))
-    blank.offset = mean
-    return blank
+            for lo, hi in C.chunks(batch, "text"):
+                part = batch.slice(lo, hi - lo)
+                k = blank.kernel(presence(part.column("text")), z).astype(float)
+                lang = part.column("lang").to_pylist()
+                w = k / np.array([[count[x]] for x in lang])  # languages count alike
+                a += k.T @ w
+                np.add.at(b.T, [at[x] for x in lang], w)
+        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["a", "b"])
+
+    sums = picked.select("lang", "text").mapInArrow(moments, "a binary, b binary").collect()
+    m = len(marks)
+    a = sum(np.frombuffer(r["a"]).reshape(m, m) for r in sums)
+    b = sum(np.frombuffer(r["b"]).reshape(m, len(langs)) for r in sums)
+    k_mm = blank.kernel(points, [_unit(x).T for x in points]).astype(float)
+    mean = np.array([count[x] for x in langs]) / sum(count.values())
+    a = a + ridge * k_mm / len(langs) + 1e-6 * np.eye(m)
+    return Model(langs, points, np.linalg.solve(a, b - np.outer(b.sum(1), mean)), mean)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

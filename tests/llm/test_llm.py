@@ -332,6 +332,20 @@ def test_language_on_held_out_rows(spark, none):
     assert langid.predict(docs, langid.fit(none), ["doc_id"]).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    r = random.Random(21)
+    data = []
+    for n in range(110):
+        parts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)]
+        data += [(n * 10 + k, " ".join("".join(r.choice(parts) for _ in range(2)) for _ in range(25)), f"l{n:03d}") for k in range(4 if n % 5 == 0 else 8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == sorted({d[2] for d in data}) and len(model.dual) >= len(model.langs)
+    got = langid.predict(docs, model, ["doc_id", "lang"]).collect()
+    right = Counter(g["lang"] for g in got if g["lang"] == g["lang_pred"])
+    assert len(right) == 110 and sum(right.values()) > 0.95 * len(data)
+
+
 # ------------------------------------------------------------------ 9
 def test_secret_scan(spark, none):
     forest = secrets.train()
