@@ -91,7 +91,7 @@ def test_repeated_ids_use_up_no_place(spark, copies):
     d[0] = np.inf
     want = np.argsort(d)[:10].tolist()
     ids = np.concatenate([np.arange(300), np.full(30, want[0]) if copies.startswith("one") else np.arange(300)])
-    _, v, dist = multiprobe._top(x[:1], np.array([0]), x[ids], ids, 10)
+    _, v, dist = multiprobe._all_ranked(x[:1], np.array([0]), x[ids], ids, 10)
     assert v.tolist() == want and np.allclose(dist, d[want])
     df = spark.createDataFrame([(int(i), x[i].tolist()) for i in ids], "vec_id long, embedding array<double>").coalesce(1)
     got = multiprobe.exact(multiprobe.valid(df), np.array([0]), x[:1], 10).orderBy("rank").collect()
@@ -100,6 +100,29 @@ def test_repeated_ids_use_up_no_place(spark, copies):
     assert len({r["vec_id"] for r in found}) == 10 and len(set(want) & {r["vec_id"] for r in found}) >= 9
 
 
+def test_the_index_selects_few_candidates_of_clustered_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 24))[rng.integers(0, 300, 6000)] + 0.15 * rng.normal(size=(6000, 24))
+    x[1000:3000] = x[17]  # a third of all rows are copies
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4).cache()
+    index = multiprobe.fit(multiprobe.valid(df), len(x), 10, 12, 0.95, 64)
+    distinct, queries = np.unique(x, axis=0), x[::100]
+    share = np.zeros((len(queries), len(distinct)), bool)
+    for t in range(12):
+        visited, bucket = index.hashes.probes(queries, t, index.probes)[1], index.hashes.codes(distinct, t)[1]
+        share |= (visited[:, :, None] == bucket[None, None, :]).any(1) if index.probes <= 50 else np.array([np.isin(bucket, v) for v in visited])
+    assert share.mean() < 0.1
+    got = defaultdict(set)
+    for r in multiprobe.search(df, lambda v: v % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(6000), d))[:10].tolist()) & got[q])
+    assert hits / 600 >= 0.9
+
+
 def test_probe_template_is_in_order_and_valid():
     sets = multiprobe.template(6, 200)
     assert sets[0] == () and len(set(sets)) == 200
