@@ -5,24 +5,27 @@ return, unchanged. Suffixes start at words. The suffixes of the corpus are split
 
 1. Every window of ``window`` words holds, as the smallest hash among its runs of ``PREFIX`` words, one
    anchor; equal windows hold the same anchor at the same place. Anchors (about one word in 14) are
-   counted over all texts with partial aggregation. A prefix that occurs once can't begin a repeat.
-2. For each repeated anchor, the stretch of text in which windows around it may lie goes to the partition
-   of its prefix. There, the suffix trees of all prefixes of the partition are built at once, by
-   prefix doubling: suffixes are classed by their first PREFIX words, then by longer and longer
-   prefixes, as one walks down the levels of the trees. The inner nodes at depth ``window`` or more with two
-   or more leaves are the repeats; the flags of their suffixes are the result.
-3. A prefix with more than ``hot`` occurrences is prolonged before anything is gathered: windows that
-   start near the anchor share a longer run to its right, the others a longer run to its left. The longer
-   prefixes are counted as the first ones were, those that occur once are dropped, and the rest are
-   treated as in 2. Prefixes still above ``hot`` are prolonged to the full window: their suffixes are
-   counted by the whole window's hash, with partial aggregation, and never gathered.
+   counted over all texts with partial aggregation. One that occurs once can't lie in a repeat.
+2. For each repeated anchor, the stretch of text in which windows around it may lie goes to the group of the anchor. Groups
+   are sized by the bytes of their stretches. One of more than ``budget`` bytes is split before
+   anything is gathered: the starts of its windows, counted from the anchor, are halved, and all windows of a half
+   share a longer run of words (8, 22, 29, 32, 34, 35 of 35), by which they are grouped anew, as prefixes are
+   prolonged in a partitioned suffix tree. Groups of one stretch are dropped, large ones are split again; a half of one start is a whole
+   window, whose group is counted and never gathered.
+3. A group's suffixes, those that start a window, are sorted word by word by prefix doubling, and the longest common prefixes of neighbours are read off the
+   doubling's ranks: the suffix tree of the group as suffix and LCP array. The inner nodes of depth ``window`` or more are its intervals
+   of LCPs that large; the leaves below them are the repeated windows. ``inner_nodes`` gives the nodes, ``maximal`` those
+   that are maximal repeats of the group's stretches.
 4. The flags go back to their texts, which are joined a second time, and the covered words are dropped.
 
 A text is known by a 64-bit key of its id and content; anchors sent back to a text are checked against
-its words. Windows are compared by two 64-bit hashes (anchor and window) at equal offsets.
+its words. Suffixes are compared by 64-bit hashes of their words. Large groups' keys are joined apart from the
+others: their table is small (at most the table's bytes divided by the budget) and is broadcast if Spark finds it
+below its threshold, else joined by sorting.
 
 Defined results: a null text has no words; a text shorter than a window loses none; repeated rows are
-copies of each other. Kept words are joined by one blank. Nothing is capped, and other columns are never read.
+copies of each other, ties of them included; very long texts are taken whole. Kept words are joined by one blank. Nothing is capped,
+an empty table gives no rows, and other columns are never read.
 """
 
 from __future__ import annotations
@@ -98,31 +101,48 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
 
 
-def repeated_windows(rows: DataFrame, window: int, hot: int) -> DataFrame:
+def _parted(rows: DataFrame, key: str, budget: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys that occur more than once: (those of up to budget bytes, those of more; None if there are none)."""
+    many = C.stored(rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).where("n > 1").select(key, "b"), "many")
+    large = C.stored(many.where(F.col("b") > budget).select(key), "large")
+    if large.isEmpty():
+        return rows.join(many.select(key), key, "left_semi"), None
+    small = rows.join(large, key, "left_anti").join(many.where(F.col("b") <= budget).select(key), key, "left_semi")
+    return small, rows.join(large, key, "left_semi")
+
+
+_STRETCH = "prefix long, _key long, first int, skip int, near int, far int, stretch binary, bytes int"
+
+
+def _sent(prefix, key, first, skip, near, far, starts, ends, lo, hi, raw) -> pa.RecordBatch:
+    """Stretches: words lo to hi, the anchor skip words after lo; windows start near to far words before the anchor."""
+    text = [bytes(raw[x:y]) for x, y in zip(starts[lo].tolist(), ends[hi - 1].tolist(), strict=True)]
+    ints = [pa.array(np.asarray(x).astype(np.int32)) for x in (first, skip, near, far)]
+    return pa.RecordBatch.from_arrays([_i64(prefix), _i64(key), *ints, pa.array(text, pa.binary()), pa.array((ends[hi - 1] - starts[lo]).astype(np.int32))], [c.split()[0] for c in _STRETCH.split(", ")])
+
+
+def repeated_windows(rows: DataFrame, window: int, budget: int) -> DataFrame:
     """(_key, _ats): word positions of a text at which a window starts that also starts elsewhere; rows has _key and _text."""
     size = min(PREFIX, window)
     back = window - size
-    half = (back + 1) // 2
-    near = window - half + 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in C.chunks(batch, "_text"):
                 part = batch.slice(a, b - a)
-                _, _, _, h, bounds = _words(part.column("_text"))
+                _, starts, ends, h, bounds = _words(part.column("_text"))
                 at, anchor = anchors(h, bounds, window)
                 row = np.searchsorted(bounds, at, "right") - 1
                 keys = np.asarray(part.column("_key"))[row]
-                yield pa.RecordBatch.from_arrays([_i64(anchor), _i64(keys), pa.array((at - bounds[row]).astype(np.int32))], ["anchor", "_key", "at"])
-
-    marks = C.stored(rows.mapInArrow(emit, "anchor long, _key long, at int"), "anchors")
-    many = marks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    spots = (
-        marks.join(many.select("anchor", (F.col("n") > hot).alias("hot")), "anchor")
-        .groupBy("_key")
-        .agg(F.collect_set(F.struct("at", "anchor", "hot")).alias("spots"))  # at most one for each word of one text
-    )
-    spots = C.stored(spots, "spots")
+                lo, hi = np.maximum(at - back, bounds[row]), np.minimum(at + window, bounds[row + 1])
+                length = pa.array((ends[hi - 1] - starts[lo]).astype(np.int32) if len(at) else np.zeros(0, np.int32))
+                yield pa.RecordBatch.from_arrays([_i64(anchor), _i64(keys), pa.array((at - bounds[row]).astype(np.int32)), length], ["anchor", "_key", "at", "bytes"])
+
+    marks = C.stored(rows.mapInArrow(emit, "anchor long, _key long, at int, bytes int"), "anchors")
+    small, large = _parted(marks, "anchor", budget)
+    spot = lambda part, is_large: part.select("_key", F.struct("at", "anchor", F.lit(is_large).alias("large")).alias("spot"))
+    spots = spot(small, False) if large is None else spot(small, False).unionByName(spot(large, True))
+    spots = C.stored(spots.groupBy("_key").agg(F.collect_set("spot").alias("spots")), "spots")  # at most one for each word of one text
     C.discard(marks)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,38 +150,44 @@ def repeated_windows(rows: DataFrame, window: int, hot: int) -> DataFrame:
             for a, b in C.chunks(batch, "_text"):
                 part = batch.slice(a, b - a)
                 buf, starts, ends, h, bounds = _words(part.column("_text"))
-                runs = run_hashes(h, min(PREFIX, window)) | np.uint64(1)
+                runs = run_hashes(h, size) | np.uint64(1)
                 lists = part.column("spots")
                 counts = np.diff(np.asarray(lists.offsets))
                 flat = lists.flatten()
                 row = np.repeat(np.arange(b - a), counts)
                 at = np.asarray(flat.field("at")).astype(np.int64) + bounds[row]
                 anchor = np.asarray(flat.field("anchor")).view(np.uint64)
-                is_hot = np.asarray(flat.field("hot").to_numpy(zero_copy_only=False), bool)
+                is_large = np.asarray(flat.field("large").to_numpy(zero_copy_only=False), bool)
                 ok = (at >= 0) & (at < np.minimum(bounds[row + 1], len(runs)))
                 ok[ok] = runs[at[ok]] == anchor[ok]
-                row, at, anchor, is_hot = row[ok], at[ok], anchor[ok], is_hot[ok]
-                keys = np.asarray(part.column("_key"))
+                row, at, anchor, is_large = row[ok], at[ok], anchor[ok], is_large[ok]
+                if not len(at):
+                    continue
                 lo, hi = np.maximum(at - back, bounds[row]), np.minimum(at + window, bounds[row + 1])
-                raw = memoryview(buf.tobytes())
-
-                def piece(which, prefix, lo, hi, raw=raw, starts=starts, ends=ends, keys=keys, row=row, at=at, bounds=bounds):
-                    text = [bytes(raw[x:y]) for x, y in zip(starts[lo].tolist(), ends[hi - 1].tolist(), strict=True)]
-                    cols = [_i64(prefix), _i64(keys[row[which]]), pa.array((lo - bounds[row[which]]).astype(np.int32)), pa.array((at[which] - lo).astype(np.int32)), pa.array(text, pa.binary()), pa.array(is_hot[which])]
-                    return pa.RecordBatch.from_arrays(cols, ["prefix", "_key", "first", "skip", "stretch", "hot"])
-
-                which = np.flatnonzero(~is_hot)
-                if len(which):
-                    yield piece(which, anchor[which], lo[which], hi[which])
-                which = np.flatnonzero(is_hot & (hi >= at + near))
-                if len(which):  # windows that start less than half before the anchor share the near words from it on
-                    yield piece(which, C.mix(run_hashes(h, near)[at[which]] + np.uint64(1)), np.maximum(lo[which], at[which] - half + 1), hi[which])
-                which = np.flatnonzero(is_hot & (lo <= at - half))
-                if len(which):  # the others share the words from half before it to its end
-                    yield piece(which, C.mix(run_hashes(h, half + size)[at[which] - half] + np.uint64(2)), lo[which], np.minimum(hi[which], at[which] - half + window))
-
-    sent = C.stored(rows.join(spots, "_key").mapInArrow(stretches, "prefix long, _key long, first int, skip int, stretch binary, hot boolean"), "stretches")
-    C.discard(spots)
+                near, far = np.where(is_large, -1, 0), np.full(len(at), back)  # -1: to be split
+                yield _sent(anchor, np.asarray(part.column("_key"))[row], lo - bounds[row], at - lo, near, far, starts, ends, lo, hi, memoryview(buf.tobytes()))
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                buf, starts, ends, h, bounds = _words(part.column("stretch"))
+                skip, first, near, far = (np.asarray(part.column(c)).astype(np.int64) for c in ("skip", "first", "near", "far"))
+                near, mid = np.maximum(near, 0), (np.maximum(near, 0) + far) // 2
+                key, raw = np.asarray(part.column("_key")), memoryview(buf.tobytes())
+                for low, high in ((near, mid), (mid + 1, far)):
+                    at = bounds[:-1] + skip
+                    lo, hi = np.maximum(at - high, bounds[:-1]), np.minimum(at - low + window, bounds[1:])
+                    has = np.flatnonzero((low <= high) & (hi - lo >= window))  # a whole window starts there
+                    if not len(has):
+                        continue
+                    prefix = np.zeros(len(has), np.uint64)
+                    wide = high[has] - low[has]
+                    for w in np.unique(wide).tolist():  # all windows of the half share window - w words
+                        of = np.flatnonzero(wide == w)
+                        prefix[of] = run_hashes(h, window - w)[(at - low)[has[of]]]
+                    prefix = C.mix(prefix + (low[has] * 1000 + high[has] + 1).astype(np.uint64) * _Q)
+                    yield _sent(prefix, key[has], (first + lo - bounds[:-1])[has], (at - lo)[has], low[has], high[has], starts, ends, lo[has], hi[has], raw)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -178,57 +204,109 @@ def repeated_windows(rows: DataFrame, window: int, hot: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from _deep(held, window)
 
-    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, row, offset = _suffixes(batch.column("prefix"), batch.column("skip"), batch.column("stretch"), window)
-            key, first = (np.asarray(batch.column(c)).astype(np.int64)[row] for c in ("_key", "first"))
-            yield pa.RecordBatch.from_arrays([_i64(node), _i64(key), pa.array((first + offset).astype(np.int32))], ["node", "_key", "_at"])
-
+    sent = C.stored(rows.join(spots, "_key").mapInArrow(stretches, _STRETCH), "stretches")
+    C.discard(spots)
     columns = ["prefix", "_key", "first", "skip", "stretch"]
-    longer = sent.where("hot")
-    again = longer.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-    longer = longer.join(again, "prefix")
-    gathered = sent.where("not hot").select(columns).unionByName(longer.where(F.col("n") <= hot).select(columns))
-    gathered = gathered.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(trees, "_key long, _at int")
-    full = longer.where(F.col("n") > hot).select(columns).mapInArrow(wholes, "node long, _key long, _at int")
-    twice = full.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    found = gathered.unionByName(full.join(twice, "node", "left_semi").select("_key", "_at"))
+    gathered, whole, spent = sent.where("near = 0").select(columns), [], [sent]
+    if large is not None:
+        rest = sent.where("near < 0")
+        while rest is not None:
+            rest = C.stored(rest.mapInArrow(halves, _STRETCH), "halves")
+            spent.append(rest)
+            small, large = _parted(rest, "prefix", budget)
+            gathered = gathered.unionByName(small.where("near < far").select(columns))
+            at = [F.col("_key"), (F.col("first") + F.col("skip") - F.col("near")).alias("_at")]
+            whole.append(small.where("near = far").select(*at))  # groups of equal windows
+            if large is not None:
+                whole.append(large.where("near = far").select(*at))
+                large = large.where("near < far")
+                large = None if large.isEmpty() else large
+            rest = large
+    found = gathered.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(trees, "_key long, _at int")
+    for part in whole:
+        found = found.unionByName(part)
     flags = C.stored(found.groupBy("_key").agg(F.collect_set("_at").alias("_ats")), "flags")  # at most one for each word of one text
-    C.discard(sent)
+    for table in spent:
+        C.discard(table)
     return flags
 
 
-def _suffixes(prefix: pa.Array, skip: pa.Array, stretch: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node at depth window, row, word offset) of every suffix of the stretches that holds a whole window."""
-    _, _, _, h, bounds = _words(stretch)
-    leaves = np.maximum(np.diff(bounds) - window + 1, 0)
-    row = np.repeat(np.arange(len(leaves)), leaves)
-    offset = np.arange(leaves.sum()) - np.repeat(np.cumsum(leaves) - leaves, leaves)
-    if not len(row):
-        return np.zeros(0, np.uint64), row, offset
-    node = run_hashes(h, window)[bounds[row] + offset]
-    place = (np.asarray(skip).astype(np.int64)[row] - offset).astype(np.uint64)
-    return C.mix(node + np.asarray(prefix).view(np.uint64)[row] * np.uint64(3)) + place * _Q, row, offset
+class Suffixes:
+    """The sorted suffixes of some rows of words, and the longest common prefixes of neighbours: suffix trees as arrays.
+
+    starts are the suffixes' first words; only suffixes of the same group are neighbours. order has the suffixes
+    sorted by group, then word by word; lcp[k] is what order[k] shares with order[k - 1], 0 where their groups differ.
+    """
+
+    def __init__(self, words: np.ndarray, bounds: np.ndarray, starts: np.ndarray, group: np.ndarray):
+        n = len(words)
+        end = np.repeat(bounds[1:], np.diff(bounds))
+        at, longest = np.arange(n), int(np.diff(bounds).max(initial=0))
+        ranks, width = [np.unique(words, return_inverse=True)[1].astype(np.int64) + 1], 1
+        while width < longest:
+            r = ranks[-1]
+            after = np.where(at + width < end, r[np.minimum(at + width, n - 1)], 0)  # 0: the row ends
+            ranks.append(np.unique(r * (n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1)
+            width *= 2
+        self.order = np.lexsort((ranks[-1][starts], group))
+        self.starts = starts[self.order]
+        x, y, g = self.starts[1:], self.starts[:-1], group[self.order]
+        same, both = g[1:] == g[:-1], np.zeros(len(x), np.int64)
+        left = np.minimum(end[x] - x, end[y] - y)
+        for k in range(len(ranks) - 1, -1, -1):
+            r = ranks[k]
+            fits = same & (both + (1 << k) <= left)
+            more = fits & (r[np.minimum(x + both, n - 1)] == r[np.minimum(y + both, n - 1)])
+            both[more] += 1 << k
+        self.lcp = np.concatenate([[0], both]) if len(starts) else np.zeros(0, np.int64)
+
+    def below(self, depth: int) -> np.ndarray:
+        """The indices of the suffixes below an inner node of at least that depth."""
+        deep = np.concatenate([self.lcp >= depth, [False]]) if len(self.lcp) else np.zeros(1, bool)
+        return self.order[deep[:-1] | deep[1:]]
+
+    def inner_nodes(self, depth: int) -> list[tuple[int, int, int]]:
+        """(depth, first, last place in order) of every inner node of at least that depth, by the intervals of the LCPs."""
+        out, stack = [], []
+        for k, l in enumerate([*self.lcp.tolist(), 0]):
+            first = k - 1
+            while stack and stack[-1][0] > l:
+                d, first = stack.pop()
+                out.append((d, first, k - 1))
+            if l >= depth and (not stack or stack[-1][0] < l):
+                stack.append((l, first))
+        return sorted(out, key=lambda node: (node[1], -node[2]))
+
+    def maximal(self, depth: int, before: np.ndarray) -> list[tuple[int, list[int]]]:
+        """(length, suffixes) of the maximal repeats: inner nodes whose leaves differ in the word before them (0: none there)."""
+        found = []
+        for d, a, b in self.inner_nodes(depth):
+            leaves = self.order[a : b + 1]
+            if len(set(before[leaves].tolist())) > 1 or not before[leaves].all():
+                found.append((d, sorted(leaves.tolist())))
+        return found
 
 
 def _deep(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
-    """Suffixes of the stretches that lie below an inner node of depth window or more of their prefix's tree."""
+    """Suffixes of the stretches that lie below an inner node of depth window or more of their group's tree."""
     table = table.combine_chunks()
-    node, row, offset = _suffixes(*(table.column(c).chunk(0) for c in ("prefix", "skip", "stretch")), window)
-    key, first = (np.asarray(table.column(c)).astype(np.int64) for c in ("_key", "first"))
-    order = np.argsort(node, kind="stable")
-    ranked = node[order]
-    twin = np.zeros(len(node), bool)
-    same = ranked[1:] == ranked[:-1]
-    twin[order[1:][same]] = twin[order[:-1][same]] = True
+    _, _, _, h, bounds = _words(table.column("stretch").chunk(0))
+    prefix = np.asarray(table.column("prefix"))
+    key, first, skip = (np.asarray(table.column(c)).astype(np.int64) for c in ("_key", "first", "skip"))
+    leaves = np.maximum(np.diff(bounds) - window + 1, 0)
+    row = np.repeat(np.arange(len(leaves)), leaves)
+    offset = np.arange(leaves.sum()) - np.repeat(np.cumsum(leaves) - leaves, leaves)
+    # equal windows hold their anchor at the same place, so a tree is of one prefix and one place
+    group = np.unique(prefix, return_inverse=True)[1][row] * (1 << 20) + (skip[row] - offset + (1 << 19))
+    twin = Suffixes(h, bounds, bounds[row] + offset, group).below(window)
     row, offset = row[twin], offset[twin]
     yield pa.RecordBatch.from_arrays([_i64(key[row]), pa.array((first[row] + offset).astype(np.int32))], ["_key", "_at"])
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, hot: int = 20_000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, budget: int = 8 << 20, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The columns keep, n_words, n_removed and kept (the words left, joined by one blank) of every row."""
     rows = docs.select(*keep, F.xxhash64(F.col(id_col), F.col(text)).alias("_key"), F.col(text).alias("_text"))
-    flags = repeated_windows(rows.select("_key", "_text"), window, hot)
+    flags = repeated_windows(rows.select("_key", "_text"), window, budget)
     joined = rows.join(flags, "_key", "left").select(*keep, "_text", "_ats")
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in keep)
 

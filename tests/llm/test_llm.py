@@ -261,8 +261,33 @@ def test_code_points_in_pieces():
 
 
 # ------------------------------------------------------------------ 5
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_substring_dedup_equals_brute_force(docs, none, hot):
+@pytest.mark.parametrize("seed", range(6))
+def test_suffix_trees_have_the_inner_nodes_and_maximal_repeats_of_brute_force(seed):
+    r = random.Random(seed)
+    texts = [[r.randint(1, 2 + seed % 3) for _ in range(r.randint(0, 30))] for _ in range(6)]
+    words = np.array([w for t in texts for w in t], np.uint64)
+    bounds = np.cumsum([0, *map(len, texts)])
+    places = [(k, i) for k, t in enumerate(texts) for i in range(len(t))]
+    tree = repeats.Suffixes(words, bounds, np.array([bounds[k] + i for k, i in places], int), np.zeros(len(places), int))
+    seen, where = defaultdict(set), defaultdict(list)
+    for k, i in places:
+        for n in range(1, len(texts[k]) - i + 1):
+            run = tuple(texts[k][i : i + n])
+            seen[run].add(texts[k][i + n] if i + n < len(texts[k]) else None)
+            where[run].append(places.index((k, i)))
+    branching = {run for run in seen if len(where[run]) > 1 and (len(seen[run]) > 1 or seen[run] == {None})}
+    for depth in (1, 3, 5):
+        nodes = tree.inner_nodes(depth)
+        got = Counter((d, tuple(sorted(tree.order[a : b + 1].tolist()))) for d, a, b in nodes)
+        assert got == Counter((len(run), tuple(where[run])) for run in branching if len(run) >= depth)
+        assert sorted(tree.below(depth).tolist()) == sorted({p for run in where if len(run) == depth and len(where[run]) > 1 for p in where[run]})
+        before = np.array([texts[k][i - 1] if i else 0 for k, i in places])
+        want = [(len(run), where[run]) for run in branching if len(run) >= depth and (len({before[p] for p in where[run]}) > 1 or any(not before[p] for p in where[run]))]
+        assert sorted(tree.maximal(depth, before)) == sorted(want)
+
+
+@pytest.mark.parametrize("budget", [8 << 20, 500])
+def test_substring_dedup_equals_brute_force(docs, none, budget):
     window = 35
     counts = Counter()
     for r in rows():
@@ -273,9 +298,9 @@ def test_substring_dedup_equals_brute_force(docs, none, hot):
         w = (r[1] or "").encode().split()
         gone = {k + j for k in range(len(w) - window + 1) if counts[tuple(w[k : k + window])] > 1 for j in range(window)}
         want[r[0], len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()] += 1
-    got = repeats.remove_repeats(docs, ["doc_id"], hot=hot).collect()
+    got = repeats.remove_repeats(docs, ["doc_id"], budget=budget).collect()
     assert Counter((g["doc_id"], g["n_words"], g["n_removed"], g["kept"]) for g in got) == want
-    if hot > 2:
+    if budget > 500:
         assert repeats.remove_repeats(none, ["doc_id"]).count() == 0
 
 
