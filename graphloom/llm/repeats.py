@@ -242,11 +242,11 @@ class Suffixes:
         n = len(words)
         end = np.repeat(bounds[1:], np.diff(bounds))
         at, longest = np.arange(n), int(np.diff(bounds).max(initial=0))
-        ranks, width = [np.unique(words, return_inverse=True)[1].astype(np.int64) + 1], 1
+        ranks, width = [np.unique(words, return_inverse=True)[1].astype(np.int32) + 1], 1
         while width < longest:
             r = ranks[-1]
             after = np.where(at + width < end, r[np.minimum(at + width, n - 1)], 0)  # 0: the row ends
-            ranks.append(np.unique(r * (n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1)
+            ranks.append(np.unique(r * np.int64(n + 1) + after, return_inverse=True)[1].astype(np.int32) + 1)
             width *= 2
         self.order = np.lexsort((ranks[-1][starts], group))
         self.starts = starts[self.order]
@@ -287,23 +287,38 @@ class Suffixes:
         return found
 
 
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of runs of sizes elements from starts on, one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def _deep(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
-    """Suffixes of the stretches that lie below an inner node of depth window or more of their group's tree."""
+    """Suffixes of the stretches that lie below an inner node of depth window or more of their group's tree.
+
+    Equal stretches of a group, by a hash of their words, are in the tree once: its leaves stand for as many places.
+    """
     table = table.combine_chunks()
     _, _, _, h, bounds = _words(table.column("stretch").chunk(0))
-    prefix = np.asarray(table.column("prefix"))
     key, first, skip = (np.asarray(table.column(c)).astype(np.int64) for c in ("_key", "first", "skip"))
-    leaves = np.maximum(np.diff(bounds) - window + 1, 0)
-    row = np.repeat(np.arange(len(leaves)), leaves)
-    offset = np.arange(leaves.sum()) - np.repeat(np.cumsum(leaves) - leaves, leaves)
+    size = np.diff(bounds)
+    at = np.arange(len(h)) - np.repeat(bounds[:-1], size)
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(size.max()), _Q)]))
+    text = C.mix(np.add.reduceat(h * powers[at], bounds[:-1])) + size.astype(np.uint64)
+    prefix = np.unique(np.asarray(table.column("prefix")), return_inverse=True)[1]
+    _, one, same, copies = np.unique(text * _Q + C.mix((prefix * 1000 + skip).astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+    h, bounds = h[_gather(bounds[one], size[one])], np.concatenate([[0], np.cumsum(size[one])])
+    n = np.maximum(size[one] - window + 1, 0)
+    row, offset = np.repeat(np.arange(len(one)), n), _gather(np.zeros(len(n), np.int64), n)
     # equal windows hold their anchor at the same place, so a tree is of one prefix and one place
-    group = np.unique(prefix, return_inverse=True)[1][row] * (1 << 20) + (skip[row] - offset + (1 << 19))
-    twin = Suffixes(h, bounds, bounds[row] + offset, group).below(window)
-    row, offset = row[twin], offset[twin]
-    yield pa.RecordBatch.from_arrays([_i64(key[row]), pa.array((first[row] + offset).astype(np.int32))], ["_key", "_at"])
+    tree = Suffixes(h, bounds, bounds[row] + offset, prefix[one][row] * (1 << 20) + (skip[one][row] - offset + (1 << 19)))
+    deep = copies[row] > 1
+    deep[tree.below(window)] = True
+    offset, many = offset[deep], np.bincount(row[deep], minlength=len(one))
+    row, found = np.repeat(np.arange(len(same)), many[same]), _gather((np.cumsum(many) - many)[same], many[same])
+    yield pa.RecordBatch.from_arrays([_i64(key[row]), pa.array((first[row] + offset[found]).astype(np.int32))], ["_key", "_at"])
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, budget: int = 8 << 20, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str], window: int = 35, budget: int = 2 << 20, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The columns keep, n_words, n_removed and kept (the words left, joined by one blank) of every row."""
     rows = docs.select(*keep, F.xxhash64(F.col(id_col), F.col(text)).alias("_key"), F.col(text).alias("_text"))
     flags = repeated_windows(rows.select("_key", "_text"), window, budget)

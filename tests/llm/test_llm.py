@@ -105,10 +105,10 @@ def test_the_index_selects_few_candidates_of_clustered_vectors(spark):
     x = rng.normal(size=(300, 24))[rng.integers(0, 300, 6000)] + 0.15 * rng.normal(size=(6000, 24))
     x[1000:3000] = x[17]  # a third of all rows are copies
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4).cache()
-    index = multiprobe.fit(multiprobe.valid(df), len(x), 10, 12, 0.95, 64)
+    index = multiprobe.fit(multiprobe.valid(df), len(x), 10, 8, 0.95, 64)
     distinct, queries = np.unique(x, axis=0), x[::100]
     share = np.zeros((len(queries), len(distinct)), bool)
-    for t in range(12):
+    for t in range(8):
         visited, bucket = index.hashes.probes(queries, t, index.probes)[1], index.hashes.codes(distinct, t)[1]
         share |= (visited[:, :, None] == bucket[None, None, :]).any(1) if index.probes <= 50 else np.array([np.isin(bucket, v) for v in visited])
     assert share.mean() < 0.1
@@ -286,7 +286,7 @@ def test_suffix_trees_have_the_inner_nodes_and_maximal_repeats_of_brute_force(se
         assert sorted(tree.maximal(depth, before)) == sorted(want)
 
 
-@pytest.mark.parametrize("budget", [8 << 20, 500])
+@pytest.mark.parametrize("budget", [2 << 20, 500])
 def test_substring_dedup_equals_brute_force(docs, none, budget):
     window = 35
     counts = Counter()
