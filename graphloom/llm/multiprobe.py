@@ -8,7 +8,7 @@ double precision. Distances are computed for the rows of visited buckets only.
 
 The width w, the number of functions and the number of probes are fitted on ``calibration`` queries (a documented bound:
 the valid vectors with the smallest hashes of their ids), whose true neighbours in the whole table are computed.
-Functions start at two more than the binary logarithm of the number of rows, so that a bucket stays small as
+Functions start at one more than the bits of the number of rows, so that a bucket stays small as
 the table grows. The fewest probes that reach ``recall`` on the calibration queries are taken; if ``PROBES``
 don't reach it, fewer functions are tried; with few functions all neighbouring cells are visited.
 If even that misses it, the queries are searched exactly. All rows are indexed.
@@ -214,10 +214,10 @@ def fit(vectors: DataFrame, count: int, k: int, tables: int, recall: float, cali
     bits = max(1, count.bit_length())
     coarse = max(0, (count // PART).bit_length())
     if not true:
-        return Index(Hashes(cal.shape[1], tables, bits + 2, width, coarse), 1, 1.0)
+        return Index(Hashes(cal.shape[1], tables, bits + 1, width, coarse), 1, 1.0)
     first = {int(i): n for n, i in enumerate(cal_id)}
     at, near = np.array([first[r["query_id"]] for r in true]), np.array([r["vec"] for r in true])
-    for functions in range(bits + 2, 0, -3):
+    for functions in range(bits + 1, 0, -3):
         hashes = Hashes(cal.shape[1], tables, functions, width, min(coarse, functions))
         step = np.full(len(true), PROBES[-1])
         for t in range(tables):
@@ -235,7 +235,7 @@ def _packed(x: np.ndarray, kind: str) -> pa.Array:
     return pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
 
 
-def search(table: DataFrame, is_query, k: int = 10, tables: int = 12, recall: float = 0.95, calibration: int = 64, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(table: DataFrame, is_query, k: int = 10, tables: int = 8, recall: float = 0.95, calibration: int = 64, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for the rows where is_query(vec_id) holds, against all rows."""
     vectors = valid(table, id_col, vector)
     kind = "<f4" if table.schema[vector].dataType.simpleString() == "array<float>" else "<f8"  # as exact as the column
@@ -267,7 +267,13 @@ def _indexed(vectors: DataFrame, queries: DataFrame, index: Index, k: int, kind:
     """query_id, rank, vec_id, score of the k best candidates in the visited buckets."""
     hashes, probes, tables = index.hashes, index.probes, index.hashes.tables
     alike = F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))
-    held = vectors.distinct().withColumn("n", alike).where(F.col("n") <= k + 1).select("vec_id", "vec")
+    held = C.stored(vectors.distinct().withColumn("n", alike).where(F.col("n") <= k + 1).select("vec_id", "vec"), "held")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("vec"))
+            for t in range(tables if len(x) else 0):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.codes(x, t)[0])], ["grp"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,8 +300,8 @@ def _indexed(vectors: DataFrame, queries: DataFrame, index: Index, k: int, kind:
                     yield pa.RecordBatch.from_arrays([pa.array(group[cut]), batch.column("vec_id").take(who), packed.take(who), pa.array(codes, pa.binary())], ["grp", "id", "vec", "codes"])
 
     shape = "grp long, id long, vec binary, codes binary"
-    placed = C.stored(held.mapInArrow(place, shape), "index")
-    large = C.stored(placed.groupBy("grp").count().where(F.col("count") > PART).select("grp", F.ceil(F.col("count") / PART).alias("parts")), "large")
+    placed = held.mapInArrow(place, shape)
+    large = C.stored(held.mapInArrow(groups, "grp long").groupBy("grp").count().where(F.col("count") > PART).select("grp", F.ceil(F.col("count") / PART).alias("parts")), "large")
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     stored = placed.join(large, "grp", "left").select("grp", F.pmod(F.xxhash64("id"), parts).alias("part"), F.lit(0).alias("ask"), "id", "vec", "codes")
     asked = queries.mapInArrow(ask, shape).join(large, "grp", "left")
