@@ -84,10 +84,10 @@ def test_louvain_is_whole_on_both_paths(spark):
     kg, at = build(spark, [str(k) for k in range(80)], [(str(a), str(b), w) for a, b, w in links])
     whole = algo._louvain([(at[str(a)], at[str(b)], w) for a, b, w in links], sum(w for *_, w in links))
     smallest = {c: min(n for n in whole if whole[n] == c) for c in whole.values()}
-    exact = kg.louvain().localCheckpoint()
+    exact = kg.louvain().cache()
     assert {x["entity_id"]: x["community"] for x in exact.collect()} == {n: smallest[c] for n, c in whole.items()}
     q = lambda membership: algo.modularity(kg.relations, membership).first()["modularity"]
-    spread = algo.louvain(kg.entities, kg.relations, max_exact=0).localCheckpoint()
+    spread = algo.louvain(kg.entities, kg.relations, max_exact=0).cache()
     assert q(spread) > q(exact) - 0.02
 
 
