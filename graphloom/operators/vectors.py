@@ -55,9 +55,12 @@ def pairs(vectors: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def fingerprint(vectors: DataFrame) -> DataFrame:
-    """Count, id sum and a content hash, so that a re-embedded entity changes it."""
-    return vectors.agg(F.count("*").alias("vector_count"), F.coalesce(F.sum("entity_id"), F.lit(0)).alias("id_sum"))
+    """Count, id sum, and the sum of components weighted by their place, which a re-embedded entity changes; see content_hash."""
+    weighted = F.aggregate(F.zip_with("vector", F.sequence(F.lit(1), F.size("vector")), lambda x, k: x.cast("double") * k), F.lit(0.0), lambda s, x: s + x)
+    ids = F.sum(F.col("entity_id").cast("decimal(38,0)"))
+    return vectors.agg(F.count("*").alias("vector_count"), F.coalesce(ids, F.lit(0)).cast("string").alias("id_sum"), F.round(F.coalesce(F.sum(weighted), F.lit(0.0)), 4).alias("content"))
 
 
 def content_hash(vectors: DataFrame) -> int:
+    """A sum of hashes of (id, components): the key under which an index of these vectors is kept."""
     return vectors.agg(F.coalesce(F.sum(F.xxhash64("entity_id", "vector").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()["h"]

@@ -11,10 +11,10 @@ from graphloom import functions as fn
 from graphloom.operators import algo, confidence, export, hyper, quantized, relate, retrieval, traverse, vectors, versioning
 from graphloom.operators.traverse import Direction
 from graphloom.sources import imports
-from graphloom.sources.mapping import EPOCH, NOW, Source, gid
+from graphloom.sources.mapping import EPOCH, NOW, ORDINALS, Source, gid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CUSTOMER, ORDER, ITEM, SUPPLIER, PART, REGION = 20_000_001, 50_000_001, 60_000_001, 30_000_001, 40_000_001, 1
+CUSTOMER, ORDER, ITEM, SUPPLIER, PART, REGION = ((ORDINALS[k] << 48) + 1 for k in ("customer", "order", "item", "supplier", "part", "region"))
 K = 10
 
 
@@ -34,7 +34,7 @@ def query(f: Callable[[Source], DataFrame]) -> Callable[[Source], DataFrame]:
     return f
 
 
-# ---------------------------------------------------------------- reads and scalar functions
+# reads and scalar functions
 @query
 def entity_type_counts(s):
     return s.entities().groupBy("entity_type").agg(F.count("*").alias("n"))
@@ -84,7 +84,7 @@ def top_utility(s):
     return s.papers().select("arxiv_id", "title", "utility").orderBy(F.desc("utility"), "arxiv_id").limit(5)
 
 
-# ---------------------------------------------------------------- traversal
+# traversal
 @query
 def neighbors_d1(s):
     return traverse.neighbors(s.entities(), s.relations(), CUSTOMER, 1)
@@ -134,12 +134,19 @@ def shortest_path(s):
     return traverse.shortest_path(r, ORDER, target["target_id"], 10)
 
 
+@query
+def shortest_path_ties(s):
+    """To the last supplier two hops away: of all parts that lead there, the one whose relations come first."""
+    far = traverse.bfs(s.entities(), s.relations(), ORDER, Direction.OUTGOING, 2).where("depth = 2 AND entity_type = 'supplier'").agg(F.max("entity_id")).first()[0]
+    return traverse.shortest_path(s.relations(), ORDER, far, 10)
+
+
 @query
 def dfs(s):
     return traverse.dfs(s.entities(), s.relations(), ORDER, Direction.OUTGOING, 3)
 
 
-# ---------------------------------------------------------------- vectors
+# vectors
 def _q(s):
     return vectors.vector_of(s.vectors(), ITEM)
 
@@ -184,7 +191,7 @@ def ann_stats(s):
     return quantized.QuantizedIndex(len(_q(s)), 3).build(s.vectors()).stats()
 
 
-# ---------------------------------------------------------------- versions
+# versions
 @query
 def version_list(s):
     return versioning.listed(s.versions()).select("id", "name", "branch", "bit_slot", "is_merged")
@@ -245,7 +252,7 @@ def version_delete_bits(s):
     return versioning.unmark(s.entities("order"), 0).select("id", "validity")
 
 
-# ---------------------------------------------------------------- hypergraph
+# hypergraph
 @query
 def list_hyperedges(s):
     return hyper.list_hyperedges(s.hyperedges(), "order", 5, 8, 20).select("id", "arity", F.round("weight", 6).alias("weight"))
@@ -288,7 +295,7 @@ def hyper_pagerank_i10(s):
     return hyper.pagerank(s.hyperedges(), iterations=10).select("entity_id", F.round("score", 9).alias("score"))
 
 
-# ---------------------------------------------------------------- algorithms
+# algorithms
 @query
 def pagerank_i10(s):
     return algo.pagerank(s.relations(), iterations=10, tolerance=None).select("entity_id", F.round("score", 9).alias("score"))
@@ -301,12 +308,17 @@ def pagerank_converged(s):
 
 @query
 def weak_components(s):
-    return algo.weak_components(s.entities("item"), s.relations("next_item"))
+    return algo.weak_components(s.entities(), s.relations())
 
 
 @query
 def scc(s):
-    return algo.strong_components(s.relations("next_item"))
+    return algo.strong_components(s.relations())
+
+
+@query
+def component_sizes(s):
+    return algo.component_sizes(algo.weak_components(s.entities(), s.relations()))
 
 
 @query
@@ -325,7 +337,13 @@ def analyze(s):
     return algo.analyze(s.entities(), s.relations())
 
 
-# ---------------------------------------------------------------- confidence and retrieval
+@query
+def analyze_structure(s):
+    """analyze without the communities, whose number depends on the order of moves."""
+    return algo.analyze(s.entities(), s.relations(), communities=False)
+
+
+# confidence and retrieval
 @query
 def confidence_formula(s):
     c = s.table("customer")
@@ -346,7 +364,7 @@ def live_confidence(s):
 
 @query
 def feedback_fold(s):
-    log = s.confidence_log().select("entity_id", F.col("id").alias("seq"), F.round(F.col("new_value") - F.col("old_value"), 6).alias("amount"))
+    log = s.confidence_log().select("entity_id", F.col("id").alias("seq"), F.round(30 * (F.col("new_value") - F.col("old_value")), 6).alias("amount"))
     return confidence.fold_feedback(s.entities("user"), log, NOW).select("entity_id", F.round("confidence", 6).alias("confidence"))
 
 
@@ -357,7 +375,7 @@ def ripple(s):
 
 @query
 def ripple_log(s):
-    return confidence.ripple_log(s.entities("part"), confidence.ripple(s.dependencies(), SUPPLIER, 0.4))
+    return confidence.ripple_log(s.entities(), confidence.ripple(s.dependencies(), SUPPLIER, 0.4))
 
 
 @query
@@ -392,7 +410,7 @@ def rag_search(s):
     return retrieval.rag(s.entities("item"), s.relations("next_item"), s.vectors(), _q(s), K)
 
 
-# ---------------------------------------------------------------- imports, relation building, export
+# imports, relation building, export
 @query
 def import_papers(s):
     p = imports.papers(s.papers())
@@ -447,22 +465,22 @@ def _some_vectors(s):
 
 @query
 def needs_embedding(s):
-    return imports.needs_embedding(s.entities("item", "region"), _some_vectors(s))
+    return imports.needs_embedding(s.entities(), _some_vectors(s))
 
 
 @query
 def embed_stats(s):
-    return imports.embed_stats(s.entities("item", "region", "nation"), _some_vectors(s))
+    return imports.embed_stats(s.entities(), _some_vectors(s))
 
 
 @query
 def export_d3_nodes(s):
-    return export.d3_nodes(s.entities("region", "nation", "customer", "supplier", "part"))
+    return export.d3_nodes(s.entities())
 
 
 @query
 def export_d3_links(s):
-    return export.d3_links(s.relations("part_of", "located_in", "next_item"))
+    return export.d3_links(s.relations())
 
 
 @query

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.schema import conform
 
-STRIDE = 10_000_000
+#: A kind's ordinal is in the bits from 48 on, so that keys up to 2**48 stay apart and ids are exact in JSON readers.
+STRIDE = 1 << 48
 ORDINALS = {"region": 0, "nation": 1, "customer": 2, "supplier": 3, "part": 4, "order": 5, "item": 6, "document": 7, "user": 8}
 REL_TYPES = ("contains", "located_in", "next_item", "part_of", "placed_by", "supplied_by")
 NOW = 1_706_745_600
@@ -17,13 +18,23 @@ EPOCH = 1_704_067_200
 
 
 def gid(kind: str, key: Column | str) -> Column:
-    """The graph id of a source key."""
-    return (F.col(key) if isinstance(key, str) else key).cast("long") + F.lit(ORDINALS[kind] * STRIDE + 1)
+    """The graph id of a source key; a key that doesn't fit is an error, not another entity's id."""
+    key = (F.col(key) if isinstance(key, str) else key).cast("long")
+    fits = F.when((key >= 0) & (key < STRIDE - 1), key).when(key.isNotNull(), F.raise_error(F.lit(f"{kind} key out of range")).cast("long"))
+    return fits + F.lit(ORDINALS[kind] * STRIDE + 1)
 
 
-def rel_id(rel_type: str, source: Column, target: Column) -> Column:
-    """A stateless relation id that sorts as (rel_type, source_id, target_id), so that no global numbering is needed."""
-    return F.lit(REL_TYPES.index(rel_type)).cast("long") * F.lit(10**16) + source * F.lit(10**8) + target
+def rel_id(rel_type: str, key: Column) -> Column:
+    """A stateless relation id: the type in the bits from 60 on, then a key of its own below 2**60; no global numbering is needed."""
+    key = key.cast("long")
+    fits = F.when((key >= 0) & (key < 1 << 60), key).otherwise(F.raise_error(F.lit(f"{rel_type} key out of range")).cast("long"))
+    return F.lit(REL_TYPES.index(rel_type) << 60) + fits
+
+
+def _pair(high: Column, low: Column, bits: int = 28) -> Column:
+    """Two keys in one; out of range for rel_id if the low one has more bits."""
+    low = low.cast("long")
+    return F.when((low >= 0) & (low < 1 << bits), F.shiftleft(high.cast("long"), bits) + low).otherwise(F.lit(-1).cast("long"))
 
 
 @dataclass
@@ -37,7 +48,6 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    # ------------------------------------------------------------------ entities
     def entities(self, *kinds: str) -> DataFrame:
         """kg_entities of the given kinds; all of them, by default, are kept for the session once computed."""
         if not kinds:
@@ -94,7 +104,6 @@ class Source:
         )
         return self._entity(users, "user", "user_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")), {}, created=F.col("first_seen"), access_count=F.col("access_count"), last_accessed=F.col("last_accessed"))
 
-    # ------------------------------------------------------------------ relations
     def relations(self, *rel_types: str) -> DataFrame:
         """kg_relations of the given types; all of them, by default, are kept for the session once computed."""
         if not rel_types:
@@ -107,39 +116,38 @@ class Source:
             out = out.unionByName(p)
         return out
 
-    def _relation(self, df: DataFrame, rel_type: str, source: Column, target: Column, weight: Column, **more: Column) -> DataFrame:
-        rows = df.select(source.alias("source_id"), target.alias("target_id"), weight.cast("double").alias("weight"), *[c.alias(k) for k, c in more.items()])
-        rows = rows.withColumns({"id": rel_id(rel_type, F.col("source_id"), F.col("target_id")), "rel_type": F.lit(rel_type), "properties": F.lit("{}"), "created_at": F.lit(EPOCH)})
+    def _relation(self, df: DataFrame, rel_type: str, key: Column, source: Column, target: Column, weight: Column, **more: Column) -> DataFrame:
+        rows = df.select(rel_id(rel_type, key).alias("id"), source.alias("source_id"), target.alias("target_id"), weight.cast("double").alias("weight"), *[c.alias(k) for k, c in more.items()])
+        rows = rows.withColumns({"rel_type": F.lit(rel_type), "properties": F.lit("{}"), "created_at": F.lit(EPOCH)})
         return conform(rows, "kg_relations")
 
     def _part_of(self):
-        return self._relation(self.table("nation"), "part_of", gid("nation", "n_nationkey"), gid("region", "n_regionkey"), F.lit(1.0))
+        return self._relation(self.table("nation"), "part_of", F.col("n_nationkey"), gid("nation", "n_nationkey"), gid("region", "n_regionkey"), F.lit(1.0))
 
     def _located_in(self):
-        c = self._relation(self.table("customer"), "located_in", gid("customer", "c_custkey"), gid("nation", "c_nationkey"), F.lit(1.0))
-        s = self._relation(self.table("supplier"), "located_in", gid("supplier", "s_suppkey"), gid("nation", "s_nationkey"), F.lit(1.0))
+        c = self._relation(self.table("customer"), "located_in", 2 * F.col("c_custkey").cast("long"), gid("customer", "c_custkey"), gid("nation", "c_nationkey"), F.lit(1.0))
+        s = self._relation(self.table("supplier"), "located_in", 2 * F.col("s_suppkey").cast("long") + 1, gid("supplier", "s_suppkey"), gid("nation", "s_nationkey"), F.lit(1.0))
         return c.unionByName(s)
 
     def _placed_by(self):
         key = F.col("o_orderkey")
         validity = (F.when(key % 2 == 0, 1).otherwise(0) + F.when(key % 3 == 0, 2).otherwise(0)).cast("long")
-        return self._relation(self.table("orders"), "placed_by", gid("order", "o_orderkey"), gid("customer", "o_custkey"), F.lit(1.0), validity=F.when(validity != 0, validity))
+        return self._relation(self.table("orders"), "placed_by", key, gid("order", "o_orderkey"), gid("customer", "o_custkey"), F.lit(1.0), validity=F.when(validity != 0, validity))
 
     def _contains(self):
-        lines = self.table("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.round(F.avg("l_quantity") / 50, 6).alias("w"))
-        return self._relation(lines, "contains", gid("order", "l_orderkey"), gid("part", "l_partkey"), F.col("w"))
+        lines = self.table("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.round(F.avg("l_quantity") / 50, 6).alias("w"), F.min("l_linenumber").alias("line"))
+        return self._relation(lines, "contains", _pair(F.col("l_orderkey"), F.col("line"), 12), gid("order", "l_orderkey"), gid("part", "l_partkey"), F.col("w"))
 
     def _supplied_by(self):
         lines = self.table("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.round(1 - (F.avg("l_discount") + 0.0), 6).alias("w"))
-        return self._relation(lines, "supplied_by", gid("part", "l_partkey"), gid("supplier", "l_suppkey"), F.col("w"))
+        return self._relation(lines, "supplied_by", _pair(F.col("l_partkey"), F.col("l_suppkey")), gid("part", "l_partkey"), gid("supplier", "l_suppkey"), F.col("w"))
 
     def _next_item(self):
         items = self.table("embeddings").select(F.col("vec_id").cast("long").alias("v"))
         n = items.count()
         rows = items.withColumn("t", (F.col("v") * 7 + 3) % F.lit(max(n, 1))).where("v <> t")
-        return self._relation(rows, "next_item", gid("item", "v"), gid("item", "t"), F.lit(0.5))
+        return self._relation(rows, "next_item", F.col("v"), gid("item", "v"), gid("item", "t"), F.lit(0.5))
 
-    # ------------------------------------------------------------------ the rest
     def vectors(self) -> DataFrame:
         e = self.table("embeddings")
         return conform(e.select(gid("item", "vec_id").alias("entity_id"), F.col("embedding").alias("vector"), F.size("embedding").alias("dimension"), F.lit(EPOCH).alias("created_at")), "kg_vectors")
@@ -157,7 +165,8 @@ class Source:
         )
 
     def dependencies(self) -> DataFrame:
-        s = self._supplied_by()
+        """Parts depend on their suppliers, orders on their parts."""
+        s = self._supplied_by().unionByName(self._contains())
         return conform(s.select("id", "source_id", "target_id", F.lit("depends_on").alias("dep_type"), "created_at"), "kg_dependencies")
 
     def confidence_log(self) -> DataFrame:
