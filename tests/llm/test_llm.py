@@ -305,7 +305,32 @@ def test_substring_dedup_equals_brute_force(docs, none, budget):
 
 
 # ------------------------------------------------------------------ 6
-@pytest.mark.parametrize("block", [16 << 20, 300])
+def test_windows_of_a_large_benchmark_take_bounded_memory():
+    import time
+    import tracemalloc
+
+    r = random.Random(3)
+    words = ["w%d" % r.randrange(40000) for _ in range(600_000)]
+    items = [(str(k), " ".join(words[k : k + 60])) for k in range(0, len(words), 60)]  # about 4 MB
+    tracemalloc.start()
+    start = time.process_time()
+    windows = decontaminate.Windows(items, 8)
+    took, most = time.process_time() - start, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400 << 20 and took < 30
+    bounds, hit, rows_, found = windows.scan(pa.array([items[17][1] + " zz " + items[30][1], " ".join(words[55:65])]))
+    assert sorted(windows.ids[i] for i, r in zip(found, rows_) if r == 0) == sorted([items[17][0], items[30][0]]) and not (rows_ == 1).any() and hit.sum() == 120
+
+
+def test_an_item_of_one_common_word(spark):
+    docs = spark.createDataFrame([(1, "the " * 30000), (2, "other words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench, ["doc_id"]).collect()}
+    assert (got[1]["n_hit"], got[1]["items"], got[2]["n_hit"]) == (30000, ["1"], 0)
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [2] and decontaminate.clean(docs, bench, items=2).count() == 2
+
+
+@pytest.mark.parametrize("block", [8 << 20, 300])
 def test_contamination_equals_brute_force(spark, docs, none, block):
     base = rows()
     long = base[2][1].split()
