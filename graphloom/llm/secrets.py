@@ -1,27 +1,28 @@
 """Secret scans: candidate strings, and a random forest that removes the false positives.
 
-Candidates of a text (the whole of it): values assigned to a telling name (password, token, key ...), runs of 16
-or more token characters that hold a digit, and PEM headers of private keys. Overlapping ones are joined to
+Candidates of a text (the whole of it, of any length): values assigned to a telling name (password, token, key ...), runs of 16
+or more token characters that hold a digit, and private keys from their BEGIN to their END line. Overlapping ones are joined to
 the first. A forest of decision trees then judges each by
 
 * length, and length of the longest run of one character class,
-* character transitions (class changes a character, bigram improbability under an English letter model),
-* dictionary coverage: the share of its letters inside common words or placeholders,
+* character transitions (class changes a character, mean improbability of letters after letters in common words),
+* dictionary coverage: the shares of it inside common words and inside placeholders,
 * the path around it: slashes, dots, at signs and file endings that touch it,
 * neighbouring words: telling names before it, words that speak of hashes, commits or examples.
 
 It is trained from labelled findings, a DataFrame or list of (before, candidate, after, label). The tables here have no
-such labels, so ``labelled_findings`` writes ``count`` seeded ones of usual kinds; the count is the
+such labels, so ``labelled_findings`` writes ``count`` seeded ones of usual kinds; the count (of a DataFrame ``most``) is the
 documented bound on training. Training takes place on the driver and the forest (a few
 thousand nodes) is broadcast. Scanning is one pass without shuffle.
 
-Null and empty texts have no candidates. Repeated rows and repeated secrets are found each time. A score of
-``threshold`` or more is a secret. Offsets are characters. Other columns are never read.
+Null and empty texts have no candidates; an empty table gives no rows. Very long texts and very long secrets are taken whole. Repeated rows and repeated secrets are found each time. A score of
+``threshold`` or more, ties included, is a secret. Offsets are characters. Other columns are never read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,10 @@ from pyspark.sql import types as T
 from . import common as C
 
 _KEYED = re.compile(
-    rb"""(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-]){0,2}(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key|client[_-]?secret)["']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}["']?([^\s"',;<>]{4,400})"""
+    rb"""(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-]){0,2}(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key|client[_-]?secret)["']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}["']?([^\s"',;<>]{4,})"""
 )
-_PEM = re.compile(rb"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]{0,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----)?")
+_BEGIN = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_END = re.compile(rb"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _TOKEN = np.zeros(256, np.uint8)
 _TOKEN[list(C.ALNUM + b"+/_-")] = 1
 _DIGIT = np.zeros(256, bool)
@@ -45,10 +47,35 @@ _DULL = re.compile(rb"(?i)(commit|sha|md5|hash|checksum|digest|etag|uuid|guid|re
 _WORDS = re.compile(
     rb"(?i)(?:password|example|sample|changeme|change|placeholder|your|test|dummy|secret|token|admin|user|name|here|none|null|true|false|config|value|string|default|insert|replace|and|the|that|with|from|this|file|path|image|index|page|home|data|main|build|version|http|www|com|html|json|xxx+|123456?)"
 )
-_FREQ = dict(zip("etaoinshrdlcumwfgypbvkjxqz", range(26), strict=True))
+_COMMON = (
+    "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so "
+    "these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know get "
+    "through back much before go good new write our used me man too any day same right look think also around another came come work three word must because does part even place well such here take why things help put years "
+    "different away again off went old number great tell men say small every found still between name should home big give air line set own under read last never us left end along while might next sound below saw something "
+    "thought both few those always looked show large often together asked house world going want school important until form food keep children feet land side without boy once animals life enough took four head above kind "
+    "password example sample changeme placeholder test dummy secret token admin user config value string default insert replace file path image index page data main build version build server client access private public "
+    "der die das und ist nicht ein eine den mit auf für von dem sie wird des aus bei wie nach que los las del con por una para como más pero sus les des dans est pour qui sur par pas plus avec sont cette mais nous"
+).split()
+
+
+def _transitions() -> dict[str, float]:
+    """Improbability (bits) of a letter after another, from the common words; smoothed."""
+    seen: dict[str, int] = {}
+    for w in _COMMON:
+        for pair in zip(w, w[1:], strict=False):
+            seen["".join(pair)] = seen.get("".join(pair), 0) + 1
+    first: dict[str, int] = {}
+    for pair, n in seen.items():
+        first[pair[0]] = first.get(pair[0], 0) + n
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return {a + b: float(-np.log2((seen.get(a + b, 0) + 0.1) / (first.get(a, 0) + 2.6))) for a in letters for b in letters}
+
+
+_BITS = _transitions()
+_DICTIONARY = re.compile("|".join(sorted({w for w in _COMMON if len(w) >= 4 and w.isascii()}, key=lambda w: (-len(w), w))).encode(), re.I)
 
 FEATURES = (
-    "length longest_run class_changes letters digits upper hex entropy rare_pairs dictionary vowels equals slashes dots at_sign file_end prefix_akia "
+    "length longest_run class_changes letters digits upper hex entropy improbability placeholders dictionary vowels equals slashes dots at_sign file_end prefix_akia "
     "tell_before dull_before keyed quoted distinct word_after pem"
 ).split()
 
@@ -64,9 +91,9 @@ def features(before: bytes, cand: bytes, after: bytes, keyed: bool) -> list[floa
     _, counts = np.unique(a, return_counts=True)
     p = counts / n
     low = cand.decode("latin-1").lower()
-    ranks = [_FREQ.get(c, 20) for c in low]
-    pairs = sum(x + y > 24 for x, y in zip(ranks, ranks[1:], strict=False))
+    bits = [_BITS.get(low[k : k + 2], 7.0) for k in range(n - 1)]
     covered = sum(m.end() - m.start() for m in _WORDS.finditer(cand))
+    known = sum(m.end() - m.start() for m in _DICTIONARY.finditer(cand))
     return [
         n,
         float(np.diff(edges).max()),
@@ -76,8 +103,9 @@ def features(before: bytes, cand: bytes, after: bytes, keyed: bool) -> list[floa
         float(upper.mean()),
         float(all(c in "0123456789abcdef" for c in low)),
         float(-(p * np.log2(p)).sum()),
-        pairs / max(n - 1, 1),
+        sum(bits) / max(n - 1, 1),
         covered / n,
+        known / n,
         sum(c in "aeiou" for c in low) / n,
         cand.count(b"="),
         cand.count(b"/") + before[-1:].count(b"/"),
@@ -95,13 +123,25 @@ def features(before: bytes, cand: bytes, after: bytes, keyed: bool) -> list[floa
     ]
 
 
+def _keys(text: bytes) -> list[tuple[int, int]]:
+    """Private keys from their BEGIN line to the END line before the next BEGIN, whatever is between; else the BEGIN line."""
+    begins = [(m.start(), m.end()) for m in _BEGIN.finditer(text)]
+    ends = [m.end() for m in _END.finditer(text)] if begins else []
+    out = []
+    for k, (a, b) in enumerate(begins):
+        at = bisect_right(ends, b)
+        after = begins[k + 1][0] if k + 1 < len(begins) else len(text)
+        out.append((a, ends[at] if at < len(ends) and ends[at] <= after else b))
+    return out
+
+
 def candidates(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """(start, end, kind) in bytes, in order and disjoint; runs are the long token runs with a digit."""
     found = []
     if b"=" in text or b":" in text:
         found += [(m.start(1), m.end(1), "assigned") for m in _KEYED.finditer(text)]
     if b"-----BEGIN" in text:
-        found += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text)]
+        found += [(a, b, "pem") for a, b in _keys(text)]
     found += [(a, b, "token") for a, b in runs]
     found.sort(key=lambda f: (f[0], f[2] != "pem", f[2] != "assigned", -f[1]))
     out: list[tuple[int, int, str]] = []
@@ -231,9 +271,16 @@ class Forest:
             at = np.where(inner, self.left[at] + right, at)
 
 
-def train(findings: list[tuple[bytes, bytes, bytes, int]] | None = None) -> Forest:
+def train(findings: DataFrame | list[tuple[bytes, bytes, bytes, int]] | None = None, most: int = 20_000) -> Forest:
+    """A forest from findings (before, candidate, after, label); of a DataFrame's rows the most with the smallest hashes are taken."""
+    if isinstance(findings, DataFrame):
+        rows = findings.where("candidate <> '' AND label is not null").select("before", "candidate", "after", "label").distinct()
+        picked = rows.orderBy(F.xxhash64("before", "candidate", "after"), "before", "candidate", "after", "label").limit(most).collect()
+        findings = [((r["before"] or "").encode()[-40:], r["candidate"].encode(), (r["after"] or "").encode()[:40], int(r["label"])) for r in picked]
     rows = labelled_findings() if findings is None else findings
-    x = np.array([features(b, c, a, bool(_KEYED.search(b + c[:400]))) for b, c, a, _ in rows])
+    if not rows:
+        raise ValueError("no labelled findings to train from")
+    x = np.array([features(b, c, a, bool(_KEYED.search(b + c))) for b, c, a, _ in rows])
     return Forest(x, np.array([float(y) for *_, y in rows]))
 
 
