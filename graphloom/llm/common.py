@@ -69,8 +69,8 @@ def fold_of(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch that hold at most limit bytes of text each (or one longer text)."""
+def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch that hold at most limit bytes of text (or one longer text) and at most rows rows."""
     n = batch.num_rows
     if not n:
         return
@@ -80,7 +80,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
     start = 0
     while start < n:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + limit, "right"))), start + rows)
         yield start, stop
         start = stop
 
@@ -183,12 +183,12 @@ NOT_SPACE = np.ones(256, np.uint8)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, modulus: int, held: int):
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, modulus: int, held: int, class_bytes: int = 32 << 20):
     """A bounded training sample and the class counts over all labelled training rows.
 
-    Of every class at most per_class labelled rows are taken, those with the smallest hash of
-    the id. Rows of the held fold, null or contradicting labels take no part. Returns
-    (DataFrame of text and label, {label: count}).
+    Of every class at most per_class labelled ids are taken, those with the smallest hash of
+    the id, one text each (the smallest, if an id has several), and of these, in that order, as many as hold class_bytes. Rows of
+    the held fold, null or contradicting labels take no part. Returns (DataFrame of text and label, {label: count}).
     """
     known = (
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", modulus) != held))
@@ -205,4 +205,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     if picked is None:
         picked = known
     # at most per_class rows a class: a proven bound for the broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label"), counts
+    texts = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")
+    sizes = texts.select("doc_id", "label", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy("label", F.xxhash64("doc_id"), "doc_id").collect()  # per_class short rows a class
+    total: dict[int, int] = {}
+    chosen = []
+    for r in sizes:
+        total[r["label"]] = total.get(r["label"], 0) + r["n"]
+        if total[r["label"]] <= class_bytes or total[r["label"]] == r["n"]:
+            chosen.append((r["doc_id"],))
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long")
+    return texts.join(F.broadcast(ids), "doc_id").select("text", "label"), counts

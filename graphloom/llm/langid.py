@@ -1,8 +1,8 @@
 """Language identification: blended-spectrum string kernels, Nystroem landmarks, kernel ridge regression.
 
-The kernel of two texts is the mean over n = 2..4 of the cosine of their byte n-gram presence
-sets (letters folded for ASCII, digits and punctuation one separator), the n-grams of the
-whole text hashed into one table of ``2**BITS`` places per n. ``landmarks`` training texts, or one a language if there are more
+The kernel of two pieces is the mean over n = 2..4 of the cosine of their byte n-gram presence
+sets (letters folded for ASCII, digits and punctuation one separator), the n-grams hashed into one table of ``2**BITS`` places per n. A text
+of more than ``PIECE`` bytes is cut into equal pieces, as its grams would fill the table, and its output is their mean: every byte counts. ``landmarks`` training texts, or one a language if there are more
 languages, span the Nystroem space, drawn from the languages in turn; one-versus-rest kernel ridge regression is solved in that space on a bounded
 sample of at most ``per_class`` training texts per language. A score is a product of a batch's kernel
 matrix with the dual weights. The broadcast model is landmarks x 3 x 2**BITS bits at most and
@@ -27,23 +27,36 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-BITS, ORDERS = 13, (2, 3, 4)
+BITS, ORDERS, PIECE, ROWS = 13, (2, 3, 4), 4096, 256
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def presence(texts: pa.Array) -> list[np.ndarray]:
-    """For each n, a rows x 2**BITS boolean matrix of the n-grams that a text holds, none across rows."""
+def pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, shares, offsets, buffer) of at most ROWS pieces at a time: a text longer than PIECE bytes is cut into equal ones."""
     buf, offs = C.raw(texts)
-    rows = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(offs))
+    size = np.diff(offs)
+    many = np.maximum(-(-size // PIECE), 1)
+    row = np.repeat(np.arange(len(size)), many)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    cut = np.append(offs[row] + size[row] * nth // many[row], offs[-1])
+    for a in range(0, len(row), ROWS):
+        b = min(a + ROWS, len(row))
+        yield row[a:b], 1 / many[row[a:b]], cut[a : b + 1] - cut[a], buf[cut[a] : cut[b]]
+
+
+def presence(offs: np.ndarray, buf: np.ndarray) -> list[np.ndarray]:
+    """For each n, a rows x 2**BITS boolean matrix of the n-grams that a row's bytes hold, none across rows."""
+    n_rows = len(offs) - 1
+    rows = np.repeat(np.arange(n_rows, dtype=np.int64), np.diff(offs))
     b = _FOLD[buf]
     keep = np.ones(len(b), bool)  # runs of separators count once
     keep[1:] = (b[1:] != 32) | (b[:-1] != 32) | (rows[1:] != rows[:-1])
     b, rows = b[keep].astype(np.uint32), rows[keep] << BITS
     out = []
     for n in ORDERS:
-        m = np.zeros((len(texts), 1 << BITS), bool)
+        m = np.zeros((n_rows, 1 << BITS), bool)
         if len(b) >= n:
             last = len(b) - n + 1
             h = b[:last].copy()
@@ -90,7 +103,7 @@ def fit(docs: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 1000,
     marks = [r["text"] for r in marks.where(F.col("_turn") <= landmarks).orderBy("_turn", "lang").limit(max(landmarks, len(langs))).collect()]
     if not marks:
         return blank
-    points = presence(pa.array(marks, pa.string()))
+    points = [np.concatenate(x) for x in zip(*(presence(*_middle(m)) for m in marks), strict=True)]
     told = docs.sparkSession.sparkContext.broadcast((points, langs, count))
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +114,13 @@ def fit(docs: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 1000,
         for batch in batches:
             for lo, hi in C.chunks(batch, "text"):
                 part = batch.slice(lo, hi - lo)
-                k = blank.kernel(presence(part.column("text")), z).astype(float)
-                lang = part.column("lang").to_pylist()
-                w = k / np.array([[count[x]] for x in lang])  # languages count alike
-                a += k.T @ w
-                np.add.at(b.T, [at[x] for x in lang], w)
+                langs_ = part.column("lang").to_pylist()
+                for row, share, offs, buf in pieces(part.column("text")):
+                    k = blank.kernel(presence(offs, buf), z).astype(float)
+                    lang = [langs_[r] for r in row]
+                    w = k * (share / np.array([count[x] for x in lang]))[:, None]  # languages count alike, texts too
+                    a += k.T @ w
+                    np.add.at(b.T, [at[x] for x in lang], w)
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], ["a", "b"])
 
     sums = picked.select("lang", "text").mapInArrow(moments, "a binary, b binary").collect()
@@ -118,6 +133,14 @@ def fit(docs: DataFrame, modulus: int = 5, held: int = 0, per_class: int = 1000,
     return Model(langs, points, np.linalg.solve(a, b - np.outer(b.sum(1), mean)), mean)
 
 
+def _middle(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A landmark is a piece of a training text: the middle one, so that a long text's grams don't fill the table."""
+    cut = [(offs, buf) for _, _, offs, buf in pieces(pa.array([text], pa.string()))]
+    offs, buf = cut[len(cut) // 2]
+    k = (len(offs) - 1) // 2
+    return offs[k : k + 2] - offs[k], buf[offs[k] : offs[k + 1]]
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns keep, lang_pred and score (0 to 1: the winner's share of the clipped outputs)."""
     told = docs.sparkSession.sparkContext.broadcast(model)
@@ -132,7 +155,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                 part = batch.slice(a, b - a)
                 letters = _has_letter(part.column("_text"))
                 if m.langs:
-                    out = m.kernel(presence(part.column("_text")), z) @ m.dual + m.offset
+                    out = np.zeros((b - a, len(m.langs))) + m.offset
+                    for row, share, offs, buf in pieces(part.column("_text")):
+                        np.add.at(out, row, m.kernel(presence(offs, buf), z) @ m.dual * share[:, None])
                     best = out.argmax(1)
                     share = np.clip(out, 0, None)
                     score = share[np.arange(len(best)), best] / np.maximum(share.sum(1), 1e-12)
