@@ -87,6 +87,8 @@ class WordBpe:
         base = [t for t in self.vocab if t not in made]
         self.names = base + [a + b for a, b in merges]
         rank = {t: i for i, t in enumerate(self.names)}
+        if len(self.names) > 65536:
+            raise ValueError("pairs of ranks are kept as 16 bits each: at most 65,536 tokens")
         if len(rank) != len(self.names):
             raise ValueError("a token is made by two merges")
         self.ids = np.array([self.vocab[t] for t in self.names], np.uint32)

@@ -167,6 +167,27 @@ class WordCache:
             lost[won] = False
             todo, at = todo[lost], (at[lost] + 1) & mask
 
+    def _place(self, made: list[tuple[np.ndarray, np.ndarray]], check: np.ndarray) -> np.ndarray:
+        """Stores encoded pieces; their slots."""
+        n = len(check)
+        more = self.n + n - len(self.check)
+        if more > 0:
+            self.check = np.concatenate([self.check, np.zeros(more, np.uint64)])
+            self.starts = [np.concatenate([x, np.zeros(more, np.int64)]) for x in self.starts]
+        for k, pool in enumerate(self.pools):
+            flat, sizes = made[k]
+            begin = self.starts[k][self.n]
+            total = int(begin + sizes.sum())
+            if total > len(pool):
+                pool = self.pools[k] = np.concatenate([pool, np.zeros(max(total - len(pool), len(pool)), pool.dtype)])
+            if total > begin:
+                pool[begin:total] = flat
+            self.starts[k][self.n + 1 : self.n + 1 + n] = begin + np.cumsum(sizes)
+        slots = np.arange(self.n, self.n + n)
+        self.check[slots] = check
+        self.n += n
+        return slots
+
     def lookup(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The slot of every piece; pieces that are new are encoded and stored first."""
         h = C.spans_hash(buf, starts, ends)
@@ -189,27 +210,17 @@ class WordCache:
                     self.clear()
             raw = buf.tobytes()
             made = self.encode([raw[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
-            slots = np.arange(self.n, self.n + len(fresh))
-            for k, pool in enumerate(self.pools):
-                flat, sizes = made[k]
-                begin = self.starts[k][self.n]
-                total = int(begin + sizes.sum())
-                if total > len(pool):
-                    pool = self.pools[k] = np.concatenate([pool, np.zeros(max(total - len(pool), len(pool)), pool.dtype)])
-                if total > begin:
-                    pool[begin:total] = flat
-                self.starts[k][self.n + 1 : self.n + 1 + len(fresh)] = begin + np.cumsum(sizes)
-            self.check[slots] = check[fresh]
-            self.n += len(fresh)
+            slots = self._place(made, check[fresh])
             self._insert(h[fresh], slots)
             out = self._find(h)
-        if not np.array_equal(self.check[out], check):
-            return self._collided(buf, starts, ends)
+        wrong = np.flatnonzero(self.check[out] != check)
+        if len(wrong):  # another piece has the hash: this one gets a slot outside the table
+            raw = buf.tobytes()
+            made = self.encode([raw[a:b] for a, b in zip(starts[wrong].tolist(), ends[wrong].tolist(), strict=True)])
+            out = out.astype(np.int64)
+            out[wrong] = self._place(made, check[wrong])
         return out
 
-    def _collided(self, buf, starts, ends):
-        raise RuntimeError("two different pieces share a 64-bit hash")
-
     def gather(self, slots: np.ndarray, pool: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The concatenated pool entries of the slots, and the n + 1 offsets of each."""
         begin = self.starts[pool]
