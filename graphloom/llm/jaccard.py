@@ -158,8 +158,9 @@ def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame
     rows = _paths(classes, False, runs_needed(threshold, recall))
     found, spent = [], []
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        shared = C.stored(rows.join(sizes, "path"), f"level-{level}")
+        sizes = C.stored(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), f"sizes-{level}")
+        shared = C.stored(_by_path(rows, sizes), f"level-{level}")
+        C.discard(sizes)
         small = shared.where(F.col("n") <= LIMIT).groupBy("path").agg(F.collect_list(F.struct("cls", "sketch")).alias("members"))  # at most LIMIT
         found.append(C.stored(_bucket_pairs(small.select("members"), least, False), f"pairs-{level}"))
         spent.append(shared)
@@ -192,6 +193,18 @@ def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame
     return pairs
 
 
+def _by_path(rows: DataFrame, sizes: DataFrame, most: int = 50_000) -> DataFrame:
+    """rows.join(sizes, "path"), paths of more than most rows apart.
+
+    Their table has at most a row for most rows; Spark broadcasts it if it is below its threshold and else splits
+    the skewed partitions of a sorted join.
+    """
+    hot = C.stored(sizes.where(F.col("n") > most), "hot")
+    if hot.isEmpty():
+        return rows.join(sizes, "path")
+    return rows.join(hot, "path", "left_anti").join(sizes.where(F.col("n") <= most), "path").unionByName(rows.join(hot, "path"))
+
+
 def _dense(large: DataFrame, threshold: float) -> DataFrame:
     """(path, dense): whether a large bucket's members are alike on average, by about 16 of them.
 
@@ -258,7 +271,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(label.select(F.col("v").alias("w"), "root"), "w").groupBy("v").agg(F.min("root").alias("near"))
         best = label.join(near, "v").select("v", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = label.select(F.col("v").alias("root"), F.col("root").alias("far"))
+        # a row for each label that still stands: the join's other side, which may have most rows at one label, is streamed
+        jump = best.select("root").distinct().join(label.select(F.col("v").alias("root"), F.col("root").alias("far")), "root")
         new = C.stored(best.join(jump, "root", "left").select("v", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
         moved = new.where("old != root").isEmpty()
         label = new.select("v", "root")
@@ -318,13 +332,17 @@ def _verdicts(docs: DataFrame, threshold: float, ngram: int, recall: float, text
     member = known.join(root, "cls").join(degree, "cls")
     group = member.groupBy("root").agg(F.min("class_id").alias("group_id"), F.min("first").alias("group_first"))
     verdict = known.join(member.join(group, "root").select("cls", "group_id", "group_first", "n_links"), "cls", "left")
-    return told.select("doc_id", "_key", "cls").join(verdict, "cls", "left").select(
+    told = told.select("doc_id", "_key", "cls")
+    worded = told.where("cls is not null").join(verdict, "cls", "left")
+    bare = told.where("cls is null")  # texts without words, which may be many, don't meet at one key
+    return worded.unionByName(bare, allowMissingColumns=True).select(
         "doc_id",
         "_key",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("group_id", "class_id", "doc_id").alias("group_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("group_first._key", "first._key", "_key").alias("first_key"),
+        F.col("cls").isNotNull().alias("worded"),
     )
 
 
@@ -339,7 +357,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, ngram: int = 2, rec
 
 
 def first_of_group(docs: DataFrame, threshold: float = 0.5, ngram: int = 2, recall: float = 0.99, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of every group, with all its columns: the smallest id's; texts without words are groups of their own."""
-    chosen = _verdicts(docs, threshold, ngram, recall, text, id_col).where("_key = first_key").select(F.col("_key").alias("_kept")).distinct()
-    keyed = docs.withColumn("_kept", F.xxhash64(F.col(id_col), F.col(text))).join(chosen, "_kept", "left_semi")
-    return keyed.dropDuplicates(["_kept"]).select(docs.columns)
+    """One row of every group, with all its columns: the smallest id's; texts without words all stay, each a group of its own.
+
+    Only rows that may have to go, by one bit of their key, are shuffled with their texts: those of later members of
+    groups and repeated rows.
+    """
+    key = "_kept"
+    while key in docs.columns or f"{key}_word" in docs.columns:
+        key += "_"
+    told = _verdicts(docs, threshold, ngram, recall, text, id_col).where("worded")
+    judged = told.groupBy(F.col("_key").alias(key)).agg(F.max(F.col("_key") == F.col("first_key")).alias("stays"), F.count("*").alias("n"))
+    judged = C.stored(judged.where("not stays OR n > 1").select(key, "stays"), "judged")
+    bits = 24  # a broadcast of at most 2**18 rows
+    place = lambda k: F.pmod(k, F.lit(1 << bits))
+    mask = f"shiftleft(1L, cast(pmod(`{key}`, {1 << bits}) & 63 as int))"
+    words = judged.select(F.shiftright(place(F.col(key)), 6).alias(f"{key}_word"), F.expr(mask).alias("m")).groupBy(f"{key}_word").agg(F.bit_or("m").alias("bits"))
+    words = C.stored(words, "bits").withColumnRenamed("bits", f"{key}_bits")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text)))
+    keyed = keyed.withColumn(f"{key}_word", F.shiftright(place(F.col(key)), 6)).join(F.broadcast(words), f"{key}_word", "left")
+    maybe = F.coalesce(F.expr(f"(`{key}_bits` & {mask}) <> 0"), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sure = keyed.where(~maybe).select(columns)
+    asked = keyed.where(maybe).select(*columns, F.col(key)).join(judged.withColumnRenamed("stays", f"{key}_stays"), key, "left")
+    by_chance = asked.where(F.col(f"{key}_stays").isNull()).select(columns)
+    one = asked.where(F.col(f"{key}_stays")).dropDuplicates([key]).select(columns)
+    return sure.unionByName(by_chance).unionByName(one)

@@ -174,11 +174,13 @@ def test_a_document_may_span_blocks(tmp_path):
 # ------------------------------------------------------------------ 3
 def test_near_duplicates_equal_brute_force(spark, docs, none):
     texts = [(r[0], r[1]) for r in rows()]
-    sets = jaccard.shingle_sets(pa.array([t for _, t in texts], pa.string()), 2)
+    fold = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    words = [re.findall("[^\x20\x09-\x0d]+", (t or "").translate(fold)) for _, t in texts]
+    sets = [frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset(w) for w in words]
     classes = defaultdict(list)
     for (i, _), s in zip(texts, sets, strict=True):
-        if len(s):
-            classes[s.tobytes()].append(i)
+        if s:
+            classes[s].append(i)
     keys = list(classes)
     root = list(range(len(keys)))
 
@@ -190,7 +192,7 @@ def test_near_duplicates_equal_brute_force(spark, docs, none):
     degree = Counter()
     for a in range(len(keys)):
         for b in range(a):
-            x, y = set(np.frombuffer(keys[a], np.uint64).tolist()), set(np.frombuffer(keys[b], np.uint64).tolist())
+            x, y = keys[a], keys[b]
             if len(x & y) / len(x | y) >= 0.5:
                 degree[a] += 1
                 degree[b] += 1
@@ -211,6 +213,15 @@ def test_near_duplicates_equal_brute_force(spark, docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_first_of_group_keeps_columns_and_wordless_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    data = [(1, text, "mine"), (2, text + " more", "yours"), (1, text, "mine"), (None, None, "a"), (None, None, "b"), (5, "", "c"), (5, "", "d"), (5, " ", "e"), (6, "alone here", "f")]
+    docs = spark.createDataFrame([(i, t, k, k) for i, t, k in data], "doc_id long, text string, _kept string, _key string")
+    got = jaccard.first_of_group(docs)
+    assert got.columns == docs.columns
+    assert Counter(tuple(r) for r in got.collect()) == Counter([(1, text, "mine", "mine")] + [(i, t, k, k) for i, t, k in data[3:]])
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LIMIT", 4)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
