@@ -137,9 +137,16 @@ class Spans:
         return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
 
 
-def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of the bytes of each span."""
-    return Spans(buf).hash(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """The hash of the bytes of each span; spans in order are taken in blocks of about block bytes, which bounds the memory of long texts."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + block, "right")))
+        at = int(starts[a])
+        out[a:b] = Spans(buf[at : int(ends[b - 1])]).hash(starts[a:b] - at, ends[a:b] - at)
+        a = b
+    return out
 
 
 def runs(kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

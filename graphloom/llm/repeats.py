@@ -147,7 +147,7 @@ def repeated_windows(rows: DataFrame, window: int, budget: int) -> DataFrame:
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in C.chunks(batch, "_text"):
+            for a, b in C.chunks(batch, "_text", 1 << 18):  # a stretch and more for each 14 words
                 part = batch.slice(a, b - a)
                 buf, starts, ends, h, bounds = _words(part.column("_text"))
                 runs = run_hashes(h, size) | np.uint64(1)
@@ -169,8 +169,8 @@ def repeated_windows(rows: DataFrame, window: int, budget: int) -> DataFrame:
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
                 buf, starts, ends, h, bounds = _words(part.column("stretch"))
                 skip, first, near, far = (np.asarray(part.column(c)).astype(np.int64) for c in ("skip", "first", "near", "far"))
                 near, mid = np.maximum(near, 0), (np.maximum(near, 0) + far) // 2
