@@ -38,6 +38,12 @@ def fold_feedback(entities: DataFrame, feedback: DataFrame, now: int) -> DataFra
     return base.join(lists, "entity_id").select("entity_id", (F.col("confidence") + total).alias("confidence"), total.alias("applied"))
 
 
+def dependents_of(dependencies: DataFrame, entity_id: int) -> DataFrame:
+    """entity_id of what depends directly on an entity, each once."""
+    rows = dependencies.where((F.col("target_id") == entity_id) & (F.col("dep_type") == "depends_on"))
+    return rows.select(F.col("source_id").alias("entity_id")).distinct()
+
+
 def ripple(dependencies: DataFrame, origin: int, penalty: float, hops: int = 2, factor: float = 0.5) -> DataFrame:
     """entity_id, hop, penalty of what depends on the origin, directly or through one more; the smallest hop counts once."""
     links = dependencies.where("dep_type = 'depends_on'").select(F.col("target_id").alias("on"), F.col("source_id").alias("entity_id")).distinct()

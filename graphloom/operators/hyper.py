@@ -35,6 +35,16 @@ def overlap(hyperedges: DataFrame, members: list[int]) -> DataFrame:
     return hyperedges.where(F.arrays_overlap("entity_ids", wanted)).select("id", F.array_sort(F.array_intersect("entity_ids", wanted)).alias("shared"))
 
 
+def contains(entity_id: int):
+    """A condition on hyperedges: whether one holds the entity."""
+    return F.array_contains("entity_ids", F.lit(entity_id).cast("long"))
+
+
+def entity_set():
+    """The distinct members of a hyperedge, ascending."""
+    return F.array_sort(F.array_distinct("entity_ids"))
+
+
 def degree(hyperedges: DataFrame) -> DataFrame:
     """entity_id and the number of distinct hyperedges that hold it."""
     return bridge(hyperedges).groupBy("entity_id").agg(F.count_distinct("hyperedge_id").alias("degree"))
@@ -50,9 +60,10 @@ def neighbors(hyperedges: DataFrame, entity_id: int, min_arity: int = 2, max_ari
     return bridge(own).where(F.col("entity_id") != entity_id).select("hyperedge_id", "entity_id", "position", "weight").orderBy(F.desc("weight"), "hyperedge_id", "position")
 
 
-def _levels(hyperedges: DataFrame, start: int, depth: int, min_arity: int) -> Iterator[DataFrame]:
+def _levels(hyperedges: DataFrame, start: int, depth: int, min_arity: int, max_arity: int | None) -> Iterator[DataFrame]:
     """Nodes at each depth with a key: heavier hyperedges first, then hyperedge id and position."""
-    own = bridge(hyperedges.where(F.col("arity").between(min_arity, 100)))
+    wide = F.lit(True) if max_arity is None else F.col("arity") <= max_arity
+    own = bridge(hyperedges.where((F.col("arity") >= min_arity) & wide))
     spark = hyperedges.sparkSession
     frontier = spark.createDataFrame([(start,)], "id long").select("id", F.array().cast("array<double>").alias("key"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("hyperedge_id"), F.lit(0).alias("depth"))
     yield frontier
@@ -69,21 +80,21 @@ def _levels(hyperedges: DataFrame, start: int, depth: int, min_arity: int) -> It
         seen = seen.unionByName(frontier.select("id"))
 
 
-def bfs(hyperedges: DataFrame, start: int, depth: int, min_arity: int = 2) -> DataFrame:
-    """entity_id and depth of what shares hyperedges within depth steps; the start is excluded."""
+def bfs(hyperedges: DataFrame, start: int, depth: int, min_arity: int = 2, max_arity: int | None = 100) -> DataFrame:
+    """entity_id and depth of what shares hyperedges within depth steps; the start is excluded. Without max_arity none is too large."""
     check_depth(depth, 10)
-    parts = list(_levels(hyperedges, start, depth, min_arity))
+    parts = list(_levels(hyperedges, start, depth, min_arity, max_arity))
     out = parts[0].limit(0)
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select(F.col("id").alias("entity_id"), "depth")
 
 
-def path(hyperedges: DataFrame, source: int, target: int, depth: int) -> DataFrame:
+def path(hyperedges: DataFrame, source: int, target: int, depth: int, max_arity: int | None = 100) -> DataFrame:
     """(step, hyperedge_id) along a path with the fewest hyperedges; heavier ones are explored first."""
     check_depth(depth, 10)
     spark = hyperedges.sparkSession
-    for level, frontier in enumerate(_levels(hyperedges, source, depth, 2)):
+    for level, frontier in enumerate(_levels(hyperedges, source, depth, 2, max_arity)):
         row = frontier.where(F.col("id") == target).select("key").first() if level else None
         if row is not None:
             return spark.createDataFrame([(k + 1, int(h)) for k, h in enumerate(row["key"][1::3])], "step int, hyperedge_id long")

@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import vectors as exact
 from graphloom.schema import InvalidInput, InvalidVectorDimension
 
 
@@ -73,12 +74,25 @@ class QuantizedIndex:
         self.codes = vectors.select("entity_id", "vector").mapInArrow(run, "entity_id long, codes binary, norm double")
         return self
 
-    def search(self, query: list[float], k: int) -> DataFrame:
-        """entity_id, similarity: cosine of the dequantized codes of query and rows."""
-        if len(query) != self.dimension:
-            raise InvalidVectorDimension(str(len(query)))
-        q = self.dequantize(self.quantize(np.array([query], np.float64)))[0]
-        qn, dimension, codebook = np.linalg.norm(q) or 1.0, self.dimension, self.codebook
+    def add(self, vectors: DataFrame) -> QuantizedIndex:
+        """Codes of more vectors; those of ids that are there already replace them."""
+        if self.codes is None:
+            return self.build(vectors)
+        old = self.codes
+        new = self.build(vectors).codes
+        self.codes = old.join(new.select("entity_id"), "entity_id", "left_anti").unionByName(new)
+        return self
+
+    def __len__(self) -> int:
+        return 0 if self.codes is None else self.codes.count()
+
+    def _scored(self, queries: list[list[float]]) -> DataFrame:
+        """query, entity_id, similarity of every row and query: one scan, a matrix product a batch."""
+        if any(len(q) != self.dimension for q in queries):
+            raise InvalidVectorDimension(str(self.dimension))
+        q = self.dequantize(self.quantize(np.array(queries, np.float64).reshape(-1, self.dimension)))
+        norm = np.linalg.norm(q, axis=1, keepdims=True)
+        q, dimension, codebook = q / np.where(norm > 0, norm, 1), self.dimension, self.codebook
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -86,21 +100,24 @@ class QuantizedIndex:
                     continue
                 x = codebook[np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, dimension)]
                 n = np.linalg.norm(x, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("entity_id"), pa.array(np.where(n > 0, x @ q / np.where(n > 0, n, 1) / qn, 0.0))], ["entity_id", "similarity"])
+                found = np.where(n > 0, q @ x.T / np.where(n > 0, n, 1), 0.0)
+                ids = pa.array(np.tile(np.asarray(batch.column("entity_id")), len(q)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), len(x))), ids, pa.array(found.reshape(-1))], ["query", "entity_id", "similarity"])
 
-        scored = self.codes.select("entity_id", "codes").mapInArrow(run, "entity_id long, similarity double")
-        return scored.withColumn("similarity", F.round("similarity", 6)).orderBy(F.desc("similarity"), "entity_id").limit(max(k, 0))
+        scored = self.codes.select("entity_id", "codes").mapInArrow(run, "query int, entity_id long, similarity double")
+        return scored.withColumn("similarity", F.round("similarity", 6))
+
+    def search(self, query: list[float], k: int) -> DataFrame:
+        """entity_id, similarity: cosine of the dequantized codes of query and rows."""
+        return self._scored([query]).drop("query").orderBy(F.desc("similarity"), "entity_id").limit(max(k, 0))
 
     def search_batch(self, queries: list[list[float]], k: int) -> DataFrame:
-        """query, entity_id, similarity for each query of a list."""
-        out = None
-        for i, q in enumerate(queries):
-            part = self.search(q, k).select(F.lit(i).alias("query"), "entity_id", "similarity")
-            out = part if out is None else out.unionByName(part)
-        return out
+        """query, entity_id, similarity for each query of a list; the k best of a partition are picked before the shuffle."""
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "entity_id"))
+        return self._scored(queries).withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
     def remove(self, entity_ids: list[int]) -> QuantizedIndex:
-        self.codes = self.codes.where(~F.col("entity_id").isin(entity_ids))
+        self.codes = self.codes.join(self.codes.sparkSession.createDataFrame([(int(i),) for i in entity_ids], "entity_id long"), "entity_id", "left_anti")
         return self
 
     def clear(self) -> QuantizedIndex:
@@ -123,3 +140,50 @@ class QuantizedIndex:
         index = cls(**json.loads(spark.read.text(f"{path}/spec").first()["value"]))
         index.codes = spark.read.parquet(f"{path}/codes")
         return index
+
+    def to_bytes(self) -> bytes:
+        """The index as one Arrow stream; it is collected, so for indexes that the driver can hold."""
+        table = self.codes.toArrow()
+        spec = json.dumps({"dimension": self.dimension, "bits": self.bits, "seed": self.seed})
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema.with_metadata({"spec": spec})) as stream:
+            stream.write_table(table.replace_schema_metadata({"spec": spec}))
+        return out.getvalue().to_pybytes()
+
+    @classmethod
+    def from_bytes(cls, spark, data: bytes) -> QuantizedIndex:
+        table = pa.ipc.open_stream(data).read_all()
+        index = cls(**json.loads(table.schema.metadata[b"spec"]))
+        index.codes = spark.createDataFrame(table.replace_schema_metadata(None), "entity_id long, codes binary, norm double")
+        return index
+
+
+class LinearScanIndex:
+    """The exact index: all vectors, ranked by cosine in double precision."""
+
+    def __init__(self, spark, dimension: int):
+        self.dimension = dimension
+        self.vectors = spark.createDataFrame([], "entity_id long, vector array<float>")
+
+    def add(self, vectors: DataFrame) -> LinearScanIndex:
+        new = vectors.select(F.col("entity_id").cast("long").alias("entity_id"), F.col("vector").cast("array<float>").alias("vector"))
+        if not new.where(F.size("vector") != self.dimension).isEmpty():
+            raise InvalidVectorDimension(str(self.dimension))
+        self.vectors = self.vectors.join(new.select("entity_id"), "entity_id", "left_anti").unionByName(new)
+        return self
+
+    def search(self, query: list[float], k: int) -> DataFrame:
+        if len(query) != self.dimension:
+            raise InvalidVectorDimension(str(len(query)))
+        return exact.top_k(self.vectors, query, k)
+
+    def clear(self) -> LinearScanIndex:
+        self.vectors = self.vectors.limit(0)
+        return self
+
+    def __len__(self) -> int:
+        return self.vectors.count()
+
+    def stats(self) -> DataFrame:
+        n = F.count("*")
+        return self.vectors.agg(n.alias("vector_count"), F.lit(self.dimension).alias("dimension"), (n * self.dimension * 4).alias("vector_bytes"))

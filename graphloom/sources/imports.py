@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.schema import InvalidVectorDimension, conform
+from graphloom.schema import InvalidInput, InvalidVectorDimension, conform
 
 PAPER_COLUMNS = ("file_path", "keywords", "utility", "skill_created", "last_accessed", "created_at", "notes")
 DIMENSION = 384
@@ -93,3 +95,41 @@ def embed_stats(entities: DataFrame, vectors: DataFrame) -> DataFrame:
     """entity_type, total, pending, done."""
     flag = entities.join(needs_embedding(entities, vectors).select("id", F.lit(1).alias("pending")), "id", "left")
     return flag.groupBy("entity_type").agg(F.count("*").alias("total"), F.count("pending").alias("pending"), (F.count("*") - F.count("pending")).alias("done"))
+
+
+class FixedEmbedder:
+    """Gives every text the same vector: for tests."""
+
+    def __init__(self, vector: list[float]):
+        self.vector = list(vector)
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        return [self.vector for _ in texts]
+
+
+class CommandEmbedder:
+    """An external program: texts on its standard input, one JSON string a line; a JSON list of numbers a line comes back.
+
+    It is started once a batch, on the executor that holds the rows.
+    """
+
+    def __init__(self, command: list[str], timeout: float = 600):
+        self.command, self.timeout = list(command), timeout
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        lines = "".join(json.dumps(t) + "\n" for t in texts)
+        done = subprocess.run(self.command, input=lines, capture_output=True, text=True, timeout=self.timeout)
+        if done.returncode:
+            raise InvalidInput(f"the embedder ended with {done.returncode}: {done.stderr[-300:]}")
+        got = [json.loads(line) for line in done.stdout.splitlines() if line.strip()]
+        if len(got) != len(texts):
+            raise InvalidInput(f"{len(got)} vectors for {len(texts)} texts")
+        return got
+
+
+def check_dependencies(command: list[str]) -> bool:
+    """Whether the program of a CommandEmbedder can be started and answers one text."""
+    try:
+        return len(CommandEmbedder(command, 60)(["test"])) == 1
+    except (OSError, ValueError, subprocess.SubprocessError, InvalidInput):
+        return False

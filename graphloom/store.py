@@ -2,7 +2,7 @@
 
 Bulk mutators are primary; single-row ones wrap them. Constraints that storage can't hold (endpoints,
 weights, arity, dimensions, unique names) are checked by joins. ``save`` writes a generation directory and then
-replaces a pointer file, which is the transaction boundary. Next ids are kept, so ids are never reused.
+adds its name to the whole ones, which is the transaction boundary. Next ids are kept, so ids are never reused.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from graphloom.runtime import cut
 from graphloom.sources import imports
 from graphloom.sources.mapping import Source
 
+PARTITIONS = {"kg_entities": "entity_type", "kg_relations": "rel_type"}
 _IDS = ("kg_entities", "kg_relations", "kg_hyperedges", "kg_dependencies", "kg_confidence_log", "kg_versions")
 
 
@@ -41,9 +42,10 @@ class KnowledgeGraph:
             if name not in self.next_id:
                 most = self.tables[name].agg(F.max("id")).first()[0]
                 self.next_id[name] = (most or 0) + 1
-        self._changes = 0
+        self._changes = dict.fromkeys(schema.TABLES, 0)
+        self._indexes: dict[tuple, quantized.QuantizedIndex] = {}
 
-    # ------------------------------------------------------------ opening, saving
+    # opening, saving
     @classmethod
     def in_memory(cls, spark: SparkSession) -> KnowledgeGraph:
         return cls(spark)
@@ -56,22 +58,43 @@ class KnowledgeGraph:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> KnowledgeGraph:
-        """The current generation; tables of older schema versions are brought up to date."""
-        at = _read(spark, f"{path}/_CURRENT")
-        state = json.loads(_read(spark, f"{path}/{at}/_state.json"))
-        tables = {t: spark.read.schema(schema.struct_type(t)).parquet(f"{path}/{at}/{t}") if state["schema"] == schema.SCHEMA_VERSION else spark.read.parquet(f"{path}/{at}/{t}") for t in state["tables"]}
+        """The last whole generation; tables of older schema versions are brought up to date."""
+        done = _names(spark, f"{path}/_done")
+        at = max(done, key=int) if done else _read(spark, f"{path}/_CURRENT").removeprefix("gen=")
+        folder = f"{path}/gen={at}"
+        state = json.loads(_read(spark, f"{folder}/_state.json"))
+        tables = {}
+        for t in state["tables"]:
+            same = state["schema"] == schema.SCHEMA_VERSION
+            df = spark.read.schema(schema.struct_type(t)).parquet(f"{folder}/{t}") if same else spark.read.parquet(f"{folder}/{t}")
+            kind = PARTITIONS.get(t)
+            tables[t] = df.withColumn(kind, F.coalesce(F.col(kind).cast("string"), F.lit(""))) if kind else df  # an empty name is written as null
         return cls(spark, tables, state["next_id"])
 
     def save(self, path: str) -> str:
-        """Writes a new generation, relations by type and entities by kind; the pointer is replaced last."""
-        at = f"gen={time.time_ns()}"
-        parts = {"kg_entities": "entity_type", "kg_relations": "rel_type"}
+        """Writes a new generation, relations by type and entities by kind, which filters on them prune by.
+
+        Its name is added to _done last, by one rename to a name that isn't there yet; nothing is overwritten or
+        removed, so that a crash at any point leaves the generation before as the last whole one.
+        """
+        done = _names(self.spark, f"{path}/_done")
+        at = str(max([time.time_ns(), *(int(x) + 1 for x in done)]))
         for name, df in self.tables.items():
-            writer = df.withColumn("part", F.col(parts[name])).write.partitionBy("part") if name in parts else df.write
-            writer.parquet(f"{path}/{at}/{name}")
-        _write(self.spark, f"{path}/{at}/_state.json", json.dumps({"tables": list(self.tables), "next_id": self.next_id, "schema": schema.SCHEMA_VERSION}))
-        _write(self.spark, f"{path}/_CURRENT", at)
-        return at
+            writer = df.write.partitionBy(PARTITIONS[name]) if name in PARTITIONS else df.write
+            writer.parquet(f"{path}/gen={at}/{name}")
+        _write(self.spark, f"{path}/gen={at}/_state.json", json.dumps({"tables": list(self.tables), "next_id": self.next_id, "schema": schema.SCHEMA_VERSION}))
+        _write(self.spark, f"{path}/_done/{at}", "")
+        return f"gen={at}"
+
+    @staticmethod
+    def exists(spark: SparkSession, path: str) -> bool:
+        """Whether a whole generation is there."""
+        return bool(_names(spark, f"{path}/_done"))
+
+    @staticmethod
+    def schema_version(spark: SparkSession, path: str) -> int:
+        at = max(_names(spark, f"{path}/_done"), key=int)
+        return json.loads(_read(spark, f"{path}/gen={at}/_state.json"))["schema"]
 
     def register_views(self) -> None:
         """Temp views of all tables and of the bridge, and the SQL functions, for spark.sql."""
@@ -79,6 +102,16 @@ class KnowledgeGraph:
             df.createOrReplaceTempView(name)
         hyper.bridge(self.hyperedges).createOrReplaceTempView("kg_hyperedge_entities")
         functions.register(self.spark)
+        functions.register_stats(self.spark)
+
+    def publish(self, algorithm: str, *args, **kw) -> DataFrame:
+        """Runs an algorithm and makes its rows the view kg_<algorithm>_result, for SQL: the names of kg_<algorithm>()."""
+        run = {"pagerank": self.pagerank, "louvain": self.louvain, "bfs": self.bfs, "shortest_path": self.shortest_path, "connected_components": self.connected_components}
+        if algorithm not in run:
+            raise schema.InvalidInput(algorithm)
+        rows = cut(run[algorithm](*args, **kw))
+        rows.createOrReplaceTempView(f"kg_{algorithm}_result")
+        return rows
 
     def sql(self, text: str) -> DataFrame:
         self.register_views()
@@ -94,7 +127,7 @@ class KnowledgeGraph:
             self.tables, self.next_id = tables, ids
             raise
 
-    # ------------------------------------------------------------ tables
+    # tables
     entities = property(lambda self: self.tables["kg_entities"])
     relations = property(lambda self: self.tables["kg_relations"])
     vectors = property(lambda self: self.tables["kg_vectors"])
@@ -104,9 +137,9 @@ class KnowledgeGraph:
     versions = property(lambda self: self.tables["kg_versions"])
 
     def _install(self, name: str, df: DataFrame) -> None:
-        self._changes += 1
+        self._changes[name] += 1
         df = schema.conform(df, name)
-        self.tables[name] = cut(df) if self._changes % self.cut_every == 0 else df
+        self.tables[name] = cut(df) if self._changes[name] % self.cut_every == 0 else df
 
     def _add(self, name: str, rows: DataFrame) -> None:
         self._install(name, self.tables[name].unionByName(schema.conform(rows, name)))
@@ -122,7 +155,7 @@ class KnowledgeGraph:
         full = [tuple(r.get(f.name, None if defaults[f.name] is None else _typed(defaults[f.name], f.dataType)) for f in kind) for r in rows]
         return self.spark.createDataFrame(full, kind)
 
-    # ------------------------------------------------------------ entities
+    # entities
     def insert_entities(self, rows: list[dict], now: int | None = None) -> list[int]:
         """rows of entity_type, name and optional properties (dict) and other columns; returns the new ids."""
         now = int(time.time()) if now is None else now
@@ -146,13 +179,23 @@ class KnowledgeGraph:
         return row
 
     def get_entities_by_ids(self, ids: list[int]) -> DataFrame:
-        return self.entities.where(F.col("id").isin(ids))
+        return self.entities.join(self._id_rows(ids), "id", "left_semi")
+
+    def _id_rows(self, ids, name: str = "id") -> DataFrame:
+        return self.spark.createDataFrame([(int(i),) for i in ids], f"{name} long")
 
     def list_entities(self, entity_type: str | None = None, limit: int | None = None) -> DataFrame:
         rows = self.entities if entity_type is None else self.entities.where(F.col("entity_type") == entity_type)
         rows = rows.orderBy(F.desc("created_at"), F.desc("id"))
         return rows if limit is None else rows.limit(limit)
 
+    def get_property(self, entity_id: int, key: str):
+        return json.loads(self.get_entity(entity_id)["properties"] or "{}").get(key)
+
+    def set_property(self, entity_id: int, key: str, value, now: int | None = None) -> None:
+        row = self.get_entity(entity_id)
+        self.update_entity(entity_id, row["entity_type"], row["name"], json.loads(row["properties"] or "{}") | {key: value}, now)
+
     def update_entity(self, entity_id: int, entity_type: str, name: str, properties: dict | None = None, now: int | None = None) -> None:
         self.get_entity(entity_id)
         new = {"entity_type": entity_type, "name": name, "properties": json.dumps(properties or {}, sort_keys=True), "updated_at": int(time.time()) if now is None else now}
@@ -161,20 +204,21 @@ class KnowledgeGraph:
 
     def delete_entities(self, ids: list[int]) -> None:
         """Removes entities and all that hangs on them; hyperedges lose the members, and go below two."""
-        gone = lambda *cols: ~(F.greatest(*[F.col(c).isin(ids) for c in cols]) if len(cols) > 1 else F.col(cols[0]).isin(ids))
-        self._install("kg_entities", self.entities.where(gone("id")))
-        self._install("kg_relations", self.relations.where(gone("source_id", "target_id")))
-        self._install("kg_vectors", self.vectors.where(gone("entity_id")))
-        self._install("kg_dependencies", self.dependencies.where(gone("source_id", "target_id")))
-        self._install("kg_confidence_log", self.log.where(gone("entity_id")))
-        left = F.filter("entity_ids", lambda x: ~x.isin(ids))
-        self._install("kg_hyperedges", self.hyperedges.withColumn("entity_ids", left).withColumn("arity", F.size("entity_ids")).where("arity >= 2"))
+        out = lambda df, col: df.join(self._id_rows(ids, col), col, "left_anti")
+        self._install("kg_entities", out(self.entities, "id"))
+        self._install("kg_relations", out(out(self.relations, "source_id"), "target_id"))
+        self._install("kg_vectors", out(self.vectors, "entity_id"))
+        self._install("kg_dependencies", out(out(self.dependencies, "source_id"), "target_id"))
+        self._install("kg_confidence_log", out(self.log, "entity_id"))
+        hit = hyper.bridge(self.hyperedges).join(self._id_rows(ids, "entity_id"), "entity_id", "left_semi").groupBy(F.col("hyperedge_id").alias("id")).agg(F.collect_set("entity_id").alias("_gone"))
+        left = self.hyperedges.join(hit, "id", "left").withColumn("entity_ids", F.when(F.col("_gone").isNull(), F.col("entity_ids")).otherwise(F.filter("entity_ids", lambda x: ~F.array_contains("_gone", x))))
+        self._install("kg_hyperedges", left.withColumn("arity", F.size("entity_ids")).where("arity >= 2"))
 
     def delete_entity(self, entity_id: int) -> None:
         self.get_entity(entity_id)
         self.delete_entities([entity_id])
 
-    # ------------------------------------------------------------ relations
+    # relations
     def insert_relations(self, rows: list[dict], now: int | None = None) -> list[int]:
         for r in rows:
             schema.check_weight(r.get("weight", 1.0))
@@ -190,14 +234,14 @@ class KnowledgeGraph:
         return self.insert_relations([{"source_id": source_id, "target_id": target_id, "rel_type": rel_type, "weight": weight, "properties": properties}])[0]
 
     def _require(self, ids: set[int]) -> None:
-        known = {r["id"] for r in self.get_entities_by_ids(list(ids)).select("id").collect()}
-        if ids - known:
-            raise schema.EntityNotFound(min(ids - known))
+        missing = self._id_rows(ids).join(self.entities.select("id"), "id", "left_anti").agg(F.min("id")).first()[0]
+        if missing is not None:
+            raise schema.EntityNotFound(missing)
 
     def get_relations_by_source(self, entity_id: int) -> DataFrame:
         return self.relations.where(F.col("source_id") == entity_id)
 
-    # ------------------------------------------------------------ hyperedges
+    # hyperedges
     def insert_hyperedge(self, entity_ids: list[int], hyperedge_type: str, weight: float = 1.0, properties: dict | None = None, now: int | None = None) -> int:
         self._check_hyperedge(entity_ids, weight)
         now = int(time.time()) if now is None else now
@@ -223,12 +267,12 @@ class KnowledgeGraph:
     def list_hyperedges(self, *args, **kw) -> DataFrame:
         return hyper.list_hyperedges(self.hyperedges, *args, **kw)
 
-    def update_hyperedge(self, hyperedge_id: int, entity_ids: list[int], hyperedge_type: str, weight: float) -> None:
+    def update_hyperedge(self, hyperedge_id: int, entity_ids: list[int], hyperedge_type: str, weight: float, now: int | None = None) -> None:
         self.get_hyperedge(hyperedge_id)
         self._check_hyperedge(entity_ids, weight)
         hit = F.col("id") == hyperedge_id
         members = F.array(*[F.lit(i).cast("long") for i in entity_ids])
-        new = {"entity_ids": members, "hyperedge_type": F.lit(hyperedge_type), "weight": F.lit(float(weight)), "arity": F.lit(len(entity_ids))}
+        new = {"entity_ids": members, "hyperedge_type": F.lit(hyperedge_type), "weight": F.lit(float(weight)), "arity": F.lit(len(entity_ids)), "updated_at": F.lit(int(time.time()) if now is None else now)}
         self._install("kg_hyperedges", self.hyperedges.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()}))
 
     def delete_hyperedge(self, hyperedge_id: int) -> None:
@@ -241,8 +285,9 @@ class KnowledgeGraph:
     def get_entity_hyperedges(self, entity_id: int) -> DataFrame:
         return hyper.entity_hyperedges(self.hyperedges, entity_id)
 
-    def higher_order_bfs(self, start: int, depth: int, min_arity: int = 2) -> DataFrame:
-        return hyper.bfs(self.hyperedges, start, depth, min_arity)
+    def higher_order_bfs(self, start: int, depth: int, min_arity: int = 2, max_arity: int | None = 100) -> DataFrame:
+        self._require({start})
+        return hyper.bfs(self.hyperedges, start, depth, min_arity, max_arity)
 
     def higher_order_shortest_path(self, source: int, target: int, depth: int) -> DataFrame:
         self._require({source, target})
@@ -254,7 +299,7 @@ class KnowledgeGraph:
     def hypergraph_entity_pagerank(self, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
         return hyper.pagerank(self.hyperedges, damping, iterations, tolerance)
 
-    # ------------------------------------------------------------ traversal and algorithms
+    # traversal and algorithms
     def get_neighbors(self, entity_id: int, depth: int = 1) -> DataFrame:
         return traverse.neighbors(self.entities, self.relations, entity_id, depth)
 
@@ -292,7 +337,7 @@ class KnowledgeGraph:
     def analyze(self) -> DataFrame:
         return algo.analyze(self.entities, self.relations)
 
-    # ------------------------------------------------------------ vectors and retrieval
+    # vectors and retrieval
     def insert_vectors(self, rows: list[tuple[int, list[float]]], now: int | None = None) -> None:
         """Inserts or replaces; all must have the stored dimension."""
         if not rows:
@@ -304,7 +349,7 @@ class KnowledgeGraph:
         self._require({i for i, _ in rows})
         now = int(time.time()) if now is None else now
         new = self._rows([{"entity_id": i, "vector": [float(x) for x in v], "dimension": size, "created_at": now} for i, v in rows], "kg_vectors")
-        kept = self.vectors.where(~F.col("entity_id").isin([i for i, _ in rows]))
+        kept = self.vectors.join(self._id_rows({i for i, _ in rows}, "entity_id"), "entity_id", "left_anti")
         self._install("kg_vectors", kept.unionByName(new))
 
     def insert_vector(self, entity_id: int, vector: list[float]) -> None:
@@ -336,7 +381,34 @@ class KnowledgeGraph:
         row = self.vectors.select(F.size("vector").alias("n")).first()
         return quantized.QuantizedIndex(row["n"] if row else imports.DIMENSION, bits, seed).build(self.vectors)
 
-    # ------------------------------------------------------------ confidence
+    def index(self, bits: int = 3, seed: int = 42, folder: str | None = None) -> quantized.QuantizedIndex:
+        """The quantized index of the vectors as they are now, kept under their content hash, and in a folder if one is named."""
+        key = (bits, seed, str(vectors.content_hash(self.vectors)))
+        if key not in self._indexes:
+            at = None if folder is None else f"{folder}/index-{bits}-{seed}-{key[2]}"
+            if at is not None and _names(self.spark, f"{at}/spec"):
+                self._indexes[key] = quantized.QuantizedIndex.load(self.spark, at)
+            else:
+                made = self.build_index(bits, seed)
+                if at is not None:
+                    made.save(at)
+                    made = quantized.QuantizedIndex.load(self.spark, at)
+                else:
+                    made.codes = cut(made.codes)
+                self._indexes = {k: v for k, v in self._indexes.items() if k[2] == key[2]} | {key: made}
+        return self._indexes[key]
+
+    def rag(self, text: str, embedder, k: int, config: retrieval.RagConfig | None = None, folder: str | None = None) -> DataFrame:
+        """rag_search for a text: embedded by a callable on a list of texts, with the kept index."""
+        query = [float(x) for x in embedder([text])[0]]
+        vectors.check_dimension(self.vectors, len(query))
+        c = config or retrieval.RagConfig()
+        return retrieval.rag(self.entities, self.relations, self.vectors, query, k, c, self.index(c.bits, folder=folder))
+
+    # confidence
+    def dependents_of(self, entity_id: int) -> DataFrame:
+        return confidence.dependents_of(self.dependencies, entity_id)
+
     def add_dependency(self, source_id: int, target_id: int, dep_type: str = "depends_on", now: int | None = None) -> int:
         self._require({source_id, target_id})
         new = self._ids("kg_dependencies", 1)[0]
@@ -381,7 +453,7 @@ class KnowledgeGraph:
         now = int(time.time()) if now is None else now
         self._install("kg_entities", self.entities.withColumn("access_count", F.col("access_count") + F.when(hit, 1).otherwise(0)).withColumn("last_accessed", F.when(hit, F.lit(now)).otherwise(F.col("last_accessed"))))
 
-    # ------------------------------------------------------------ versions
+    # versions
     def create_version(self, name: str, branch: str = "main", parent_id: int | None = None, description: str | None = None, now: int | None = None, is_merged: bool = False) -> int:
         new = self.next_id["kg_versions"]
         made = versioning.create(self.versions, new, name, int(time.time()) if now is None else now, branch, parent_id, description, is_merged)
@@ -399,6 +471,14 @@ class KnowledgeGraph:
         rest = self.versions.where(F.col("id") != version_id)
         self._install("kg_versions", rest.withColumn("parent_id", F.when(F.col("parent_id") != version_id, F.col("parent_id"))))
 
+    def get_version(self, version_id: int):
+        return versioning.find(self.versions, version_id)
+
+    def ensure_version(self, name: str, **more) -> int:
+        """The id of the version of that name, created if there is none."""
+        row = self.versions.where(F.col("name") == name).select("id").first()
+        return self.create_version(name, **more) if row is None else row["id"]
+
     def list_versions(self) -> DataFrame:
         return versioning.listed(self.versions)
 
@@ -412,10 +492,11 @@ class KnowledgeGraph:
         slot = self._slot(version_id)
         for t, ids, error in (("kg_entities", entity_ids, schema.EntityNotFound), ("kg_relations", relation_ids, schema.RelationNotFound)):
             if ids:
-                known = {r["id"] for r in self.tables[t].where(F.col("id").isin(list(ids))).select("id").collect()}
-                if set(ids) - known:
-                    raise error(min(set(ids) - known))
-                self._install(t, change(self.tables[t], slot, F.col("id").isin(list(ids))))
+                missing = self._id_rows(set(ids)).join(self.tables[t].select("id"), "id", "left_anti").agg(F.min("id")).first()[0]
+                if missing is not None:
+                    raise error(missing)
+                marked = self.tables[t].join(self._id_rows(set(ids)).withColumn("_hit", F.lit(True)), "id", "left")
+                self._install(t, change(marked, slot, F.coalesce("_hit", F.lit(False))))
 
     def snapshot(self, version_id: int) -> None:
         slot = self._slot(version_id)
@@ -449,7 +530,7 @@ class KnowledgeGraph:
         self._install("kg_relations", r)
         return new
 
-    # ------------------------------------------------------------ import, relation building, export
+    # import, relation building, export
     def migrate_papers(self, table: DataFrame) -> int:
         rows = cut(imports.papers(table, self.next_id["kg_entities"]))
         self.insert_entities_df(rows)
@@ -461,6 +542,20 @@ class KnowledgeGraph:
         self.insert_entities_df(rows)
         return rows.count()
 
+    def migrate_all(self, papers: DataFrame, skills_folder: str, threshold: float = 0.3) -> dict[str, int]:
+        """Papers, skills, then the relations between them; how many of each."""
+        with self.transaction():
+            return {"papers": self.migrate_papers(papers), "skills": self.migrate_skills(skills_folder), "relations": self.build_relationships(threshold)}
+
+    def count_entities(self, entity_type: str | None = None) -> int:
+        return self.list_entities(entity_type).count()
+
+    def generate_embeddings(self, embedder, kind: str | None = None, force: bool = False, dimension: int = imports.DIMENSION) -> dict[str, int]:
+        """embed_missing; total, processed and skipped entities."""
+        total = self.count_entities(kind)
+        made = self.embed_missing(embedder, kind, force, dimension)
+        return {"total": total, "processed": made, "skipped": total - made}
+
     def build_relationships(self, threshold: float = 0.3) -> int:
         """derived_from, related_by_keywords and similar_to relations; returns how many."""
         papers, skills = self.entities.where("entity_type = 'paper'"), self.entities.where("entity_type = 'skill'")
@@ -490,8 +585,11 @@ class KnowledgeGraph:
         export.d3_links(self.relations).orderBy("id").select("json").write.mode("overwrite").text(f"{path}/links")
         return export.d3_metadata(self.entities, self.relations, now)
 
-    def export_dot(self, max_nodes: int = 100) -> str:
-        return export.write_dot(self.entities, self.relations, max_nodes)
+    def export_dot(self, config: export.DotConfig | None = None) -> str:
+        return export.dot_text(self.entities, self.relations, config)
+
+    def stats_json(self) -> str:
+        return functions.stats_json(self.entities, self.relations)
 
 
 def _typed(text: str, kind):
@@ -518,12 +616,21 @@ def _read(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder but for those that begin with a dot or underscore or end in .new; none if it isn't there."""
+    files, at = _file(spark, path)
+    if not files.exists(at):
+        return []
+    names = [str(f.getPath().getName()) for f in files.listStatus(at)]
+    return [n for n in names if n[0] not in "._" and not n.endswith(".new")]
+
+
 def _write(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside the target and renames over it."""
+    """Writes a new file beside its place and renames it there."""
     files, at = _file(spark, path)
     _, temp = _file(spark, path + ".new")
     out = files.create(temp, True)
     out.write(bytearray(text.encode()))
     out.close()
-    files.delete(at, False)
-    files.rename(temp, at)
+    if not files.rename(temp, at):
+        raise OSError(f"{path} can't be written")

@@ -137,6 +137,146 @@ def test_save_and_open(spark, tmp_path):
     back = KnowledgeGraph.open(spark, str(tmp_path / "g"))
     assert back.entities.count() == 1 and back.next_id["kg_entities"] == 3
     assert back.sql("SELECT name FROM kg_entities WHERE name ILIKE 'b%'").first()["name"] == "B"
+    assert KnowledgeGraph.schema_version(spark, str(tmp_path / "g")) == schema.SCHEMA_VERSION and not KnowledgeGraph.exists(spark, str(tmp_path / "none"))
+
+
+def test_a_crash_while_saving_leaves_the_last_generation(spark, tmp_path, monkeypatch):
+    from graphloom import store
+
+    kg, at = build(spark, "AB", [("A", "B", 0.5)])
+    kg.insert_entity("", "nameless kind")
+    kg.save(str(tmp_path / "g"))
+    kg.delete_entity(at["A"])
+    real = store._write
+    for crash in ("_state.json", "_done"):
+
+        def write(session, path, text, crash=crash):
+            if crash in path:
+                raise KeyboardInterrupt
+            real(session, path, text)
+
+        monkeypatch.setattr(store, "_write", write)
+        with pytest.raises(KeyboardInterrupt):
+            kg.save(str(tmp_path / "g"))
+        back = KnowledgeGraph.open(spark, str(tmp_path / "g"))
+        assert back.entities.count() == 3 and back.relations.count() == 1 and back.entities.where("entity_type = ''").count() == 1
+
+
+def test_a_table_that_always_changes_in_turn_is_cut(spark):
+    kg, at = build(spark, "AB")
+    for k in range(12):
+        kg.insert_entity("n", f"x{k}")
+        kg.insert_relation(at["A"], at["B"], "r")
+        assert len(kg.relations._jdf.queryExecution().logical().toString()) < 12_000
+    assert kg.relations.count() == 12 and kg.entities.count() == 14
+
+
+def test_keys_beyond_the_old_stride_stay_apart(spark, tmp_path):
+    from graphloom.sources.mapping import gid, rel_id
+
+    keys = spark.createDataFrame([(0,), (10_000_000,), (10**8 + 7,), (2**48 - 2,)], "k long")
+    ids = [r[0] for kind in ("order", "item", "user") for r in keys.select(gid(kind, "k")).collect()]
+    assert len(set(ids)) == 12 and max(ids) < 2**53
+    from pyspark.sql import functions as F
+
+    with pytest.raises(Exception, match="out of range"):
+        spark.createDataFrame([(2**48,)], "k long").select(gid("order", "k")).collect()
+    with pytest.raises(Exception, match="out of range"):
+        keys.select(rel_id("contains", F.col("k") - 1)).collect()
+
+
+def test_small_calls(spark):
+    kg, at = build(spark, "ABC", [("A", "B", 0.5)])
+    kg.set_property(at["A"], "k", [1], now=5)
+    assert kg.get_property(at["A"], "k") == [1] and kg.get_property(at["A"], "z") is None
+    assert {r["id"] for r in kg.get_entities_by_ids([at["A"], at["C"], 99]).collect()} == {at["A"], at["C"]}
+    kg.insert_vectors([(at["A"], [1.0, 0.0]), (at["B"], [0.0, 1.0])])
+    assert kg.get_vector(at["A"]) == [1.0, 0.0]
+    h = kg.insert_hyperedge([at["A"], at["B"]], "t", now=1)
+    kg.update_hyperedge(h, [at["C"], at["B"]], "u", 0.5, now=9)
+    row = kg.get_hyperedge(h)
+    assert (row["entity_ids"], row["hyperedge_type"], row["updated_at"]) == ([at["C"], at["B"]], "u", 9)
+    from graphloom.operators import hyper
+
+    assert kg.hyperedges.where(hyper.contains(at["C"])).select(hyper.entity_set().alias("s")).first()["s"] == sorted([at["B"], at["C"]])
+    kg.delete_hyperedge(h)
+    with pytest.raises(schema.HyperedgeNotFound):
+        kg.get_hyperedge(h)
+    kg.add_dependency(at["B"], at["A"])
+    assert [r["entity_id"] for r in kg.dependents_of(at["A"]).collect()] == [at["B"]]
+    v = kg.ensure_version("v")
+    assert kg.ensure_version("v") == v and kg.get_version(v)["name"] == "v"
+    with pytest.raises(schema.EntityNotFound):
+        kg.higher_order_bfs(99, 2)
+
+
+def test_sql_functions(spark):
+    import json
+
+    kg, at = build(spark, "ABC", [("A", "B", 0.5), ("B", "C", 0.5)])
+    one = lambda text: kg.sql(text).first()[0]
+    assert json.loads(one("SELECT kg_stats()")) == {"total_entities": 3, "total_relations": 2, "avg_degree": 1.333333, "max_degree": 1, "density": 0.333333333}
+    assert json.loads(one("SELECT kg_pagerank()")) == {"algorithm": "pagerank", "damping": 0.85, "max_iterations": 100, "tolerance": 1e-6, "rows": "kg_pagerank_result"}
+    assert json.loads(one("SELECT kg_bfs(7)"))["max_depth"] == 3 and json.loads(one("SELECT kg_shortest_path(1, 2, 4)"))["max_depth"] == 4
+    assert one("SELECT kg_version()") and json.loads(one("SELECT kg_louvain()"))["algorithm"] == "louvain" and one("SELECT kg_connected_components()")
+    kg.publish("bfs", at["A"])
+    assert one("SELECT count(*) FROM kg_bfs_result") == 3
+    kg.publish("shortest_path", at["A"], at["C"])
+    assert one("SELECT max(step) FROM kg_shortest_path_result") == 2
+    assert one(f"SELECT e.name FROM kg_bfs_result b JOIN kg_entities e ON e.id = b.entity_id WHERE depth = 2") == "C"
+
+
+def test_indexes(spark, tmp_path):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(60, 8))
+    v = spark.createDataFrame([(i, [float(t) for t in r]) for i, r in enumerate(x)], "entity_id long, vector array<float>")
+    index = quantized.QuantizedIndex(8, 4).build(v.where("entity_id < 40")).add(v.where("entity_id >= 30"))
+    same = lambda a, b: [tuple(r) for r in a.search(x[3].tolist(), 5).collect()] == [tuple(r) for r in b.search(x[3].tolist(), 5).collect()]
+    assert len(index) == 60 and same(index, quantized.QuantizedIndex(8, 4).build(v))
+    assert same(index, quantized.QuantizedIndex.from_bytes(spark, index.to_bytes()))
+    index.save(str(tmp_path / "i"))
+    assert same(index, quantized.QuantizedIndex.load(spark, str(tmp_path / "i")))
+    both = index.search_batch([x[3].tolist(), x[9].tolist()], 5)
+    assert [tuple(r)[1:] for r in both.where("query = 0").orderBy("similarity", ascending=False).collect()][0][0] == 3 and both.count() == 10
+    assert len(index.remove([3, 4])) == 58 and len(index.clear()) == 0
+    line = quantized.LinearScanIndex(spark, 8).add(v)
+    assert line.search(x[3].tolist(), 1).first()["entity_id"] == 3 and len(line) == 60 and line.stats().first()["vector_bytes"] == 60 * 32
+    with pytest.raises(schema.InvalidVectorDimension):
+        line.search([1.0], 1)
+    assert len(line.clear()) == 0
+
+
+def test_command_line_and_kept_index(spark, tmp_path, capsys):
+    from graphloom import cli
+    from graphloom.sources import imports
+
+    (tmp_path / "skills" / "s1").mkdir(parents=True)
+    (tmp_path / "skills" / "s1" / "SKILL.md").write_text("# s1\n\nfast graph search\n")
+    rows = [("a1", "graph search", '["machine", "learning"]', 1.5, "s1"), ("a2", "vision", '["machine", "vision"]', 0.5, None)]
+    table = spark.createDataFrame(rows, "arxiv_id string, title string, keywords string, utility double, skill_created string")
+    for c in ("file_path", "last_accessed", "created_at", "notes"):
+        table = table.selectExpr("*", f"cast(null as string) {c}")
+    table.write.parquet(str(tmp_path / "papers"))
+    program = tmp_path / "embed.py"
+    program.write_text("import json, sys\nfor line in sys.stdin:\n    t = json.loads(line)\n    print(json.dumps([float(len(t)), float(t.count('a')) + 0.5]))\n")
+    import sys as system
+
+    embedder, db = f"{system.executable} {program}", str(tmp_path / "kg")
+    assert cli.run(["migrate", "--source", str(tmp_path / "papers"), "--skills", str(tmp_path / "skills"), "--target", db], spark) == 0
+    assert "papers\t2" in capsys.readouterr().out
+    assert cli.run(["--db", db, "embed", "--all", "--dimension", "2", "--embedder", embedder], spark) == 0
+    assert "processed\t3" in capsys.readouterr().out
+    assert cli.run(["search", "graph search", "--k", "2", "--db", db, "--embedder", embedder], spark) == 0
+    assert "graph search" in capsys.readouterr().out
+    for argv in (["stats"], ["context", "1", "--depth", "1"], ["find-related", "1", "--threshold", "0.1"], ["similar", "1", "--k", "1"]):
+        assert cli.run([*argv, "--db", db], spark) == 0
+    out = capsys.readouterr().out
+    assert "paper\t2" in out and "derived_from" in out and "total_entities" in out
+    assert cli.run(["stats", "--db", str(tmp_path / "none")], spark) == 1
+    kg = KnowledgeGraph.open(spark, db)
+    assert kg.index() is kg.index() and kg.rag("vision", imports.FixedEmbedder([1.0, 0.0]), 2).count() == 2
+    assert not imports.check_dependencies([system.executable, "-c", "raise SystemExit(3)"])
 
 
 def test_old_tables_are_brought_up_to_date(spark):
@@ -248,7 +388,7 @@ def test_jaccard_pairs_equal_brute_force(spark):
 
 def test_exports(spark, tmp_path):
     kg, at = build(spark, ['q"x', "B", "C"], [('q"x', "B", 0.8), ("B", "C", 1.0)])
-    dot = kg.export_dot(2)
+    dot = kg.export_dot(export.DotConfig(max_nodes=2))
     assert 'label="q\\"x"' in dot and "weight=0.8000" in dot and dot.count("->") == 1
     meta = kg.export_d3(str(tmp_path / "d3"), now=0)
     assert meta == {"node_count": 3, "link_count": 2, "exported_at": "1970-01-01T00:00:00Z"}
