@@ -84,5 +84,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.classified(docs, ftrl.quality_model(docs, _table(spark, sf_dir, "labels")), 4, 2)
 
 
-QUERIES = {"op1_multiprobe_ann": op1_multiprobe_ann, "op2_token_files": op2_token_files, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op7_language_id": op7_language_id, "op8_toxicity": op8_toxicity, "op9_secret_scan": op9_secret_scan, "op10_quality": op10_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_multiprobe_ann, op2_token_files, op3_ngram_jaccard, op4_bpe, op5_substring_dedup,
+        op6_decontaminate, op7_language_id, op8_toxicity, op9_secret_scan, op10_quality,
+    )
+}
+
+_SUBSTRING_DEDUP = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+y AS (SELECT r, i, word, string_agg(word, ' ') OVER span AS run, count(*) OVER span AS n FROM x WINDOW span AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+z AS (SELECT r, i, word, n = 35 AND count(*) OVER (PARTITION BY n, run) > 1 AS again FROM y),
+k AS (SELECT r, i, word, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM z),
+g AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM k GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (r)
+"""
+
+_DECONTAMINATE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::varchar AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT DISTINCT item, array_to_string(w[i:i + least(8, len(w)) - 1], ' ') AS run, least(8, len(w)) AS size FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+x AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+sizes AS (SELECT DISTINCT size FROM win),
+y AS (SELECT r, i, 8 AS size, string_agg(word, ' ') OVER span AS run, count(*) OVER span AS n FROM x WINDOW span AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+ UNION ALL SELECT r, i, size, array_to_string(w[i:i + size - 1], ' '), least(size, len(w) - i + 1) FROM x JOIN d USING (r), sizes WHERE size < 8),
+h AS (SELECT DISTINCT r, i, size, item FROM y JOIN win USING (run, size) WHERE n = size),
+hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS j FROM h) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op5_substring_dedup": _SUBSTRING_DEDUP, "op6_decontaminate": _DECONTAMINATE}
