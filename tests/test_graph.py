@@ -58,6 +58,25 @@ def test_pagerank_and_components(spark):
     assert sizes == [3, 1]
 
 
+def test_components_equal_on_one_task_and_by_levels(spark):
+    """Paths in either order of ids, a ring, a star around its largest id and isolated nodes, by levels alone and on one task, in few jobs."""
+    r = random.Random(3)
+    links = [(k, k + 1) for k in range(40)] + [(k + 1, k) for k in range(50, 90)] + [(100 + k, 100 + (k * 7 + 3) % 30) for k in range(30)] + [(199, k) for k in range(150, 199)]
+    links += [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]
+    entities = spark.range(320)
+    relations = spark.createDataFrame(links, "source_id long, target_id long")
+    root = list(range(320))
+    for _ in range(320):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = dict(enumerate(root))
+    spark.sparkContext.setJobGroup("one task", "")
+    assert {x[0]: x[1] for x in algo.weak_components(entities, relations).collect()} == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one task")) <= 8  # a round was several jobs
+    spark.sparkContext.setJobGroup("levels", "")
+    assert {x[0]: x[1] for x in algo.weak_components(entities, relations, whole=90).collect()} == want
+
+
 def test_strong_components(spark):
     kg, at = build(spark, "ABCDEFG", [("A", "B", 1.0), ("B", "C", 1.0), ("C", "A", 1.0), ("C", "D", 1.0), ("D", "E", 1.0), ("E", "D", 1.0), ("E", "F", 1.0)])
     rows = {r["entity_id"]: r["component"] for r in kg.strongly_connected_components().collect()}
