@@ -77,6 +77,43 @@ def test_components_equal_on_one_task_and_by_levels(spark):
     assert {x[0]: x[1] for x in algo.weak_components(entities, relations, whole=90).collect()} == want
 
 
+def test_pagerank_and_strong_components_in_few_jobs(spark):
+    """Layers into a ring and a dead end: on joined turns, by layers, and on one task; the turns were a job or more each."""
+    r = random.Random(4)
+    links = [(k, 100 + r.randrange(30)) for k in range(100) for _ in range(3)] + [(100 + k, 200 + k % 9) for k in range(30)] + [(200 + k, 300 + (k * 2 + 1) % 9) for k in range(9)]
+    links += [(300 + k, 300 + (k * 7 + 3) % 12) for k in range(12)] + [(204, 400), (204, 400), (0, 400)]
+    relations = spark.createDataFrame(links, "source_id long, target_id long")
+    nodes = sorted({x for e in links for x in e})
+    for iterations, tolerance in ((10, None), (100, 1e-6), (2, None)):
+        score = dict.fromkeys(nodes, 1 / len(nodes))
+        for _ in range(iterations):
+            got = dict.fromkeys(nodes, 0.0)
+            for a, b in links:
+                got[b] += score[a] / sum(x == a for x, _ in links)
+            left = (1 - sum(got.values())) / len(nodes)
+            new = {x: 0.15 / len(nodes) + 0.85 * (got[x] + left) for x in nodes}
+            change = sum(abs(new[x] - score[x]) for x in nodes)
+            score = new
+            if tolerance and change < tolerance:
+                break
+        for whole in ([1000, 60] if tolerance else [1000, 60, 0]):
+            spark.sparkContext.setJobGroup(f"pagerank {iterations} {whole}", "")
+            found = {x[0]: x[1] for x in algo.pagerank(relations, iterations=iterations, tolerance=tolerance, whole=whole).collect()}
+            assert found.keys() == score.keys() and max(abs(found[x] - score[x]) for x in nodes) < 1e-12
+            assert not whole or len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"pagerank {iterations} {whole}")) <= 30
+    strong = [{x[0]: x[1] for x in algo.strong_components(relations, whole=whole).collect()} for whole in (1000, 60)]
+    assert strong[0] == strong[1] and strong[0].keys() == set(nodes) and all(x == c for x, c in strong[0].items() if not 300 <= x < 312)
+    assert [strong[0][x] for x in range(300, 312)] == [min(y for y in range(300, 312) if reach(x, y) and reach(y, x)) for x in range(300, 312)]
+
+
+def reach(a, b):
+    for _ in range(13):
+        if a == b:
+            return True
+        a = 300 + ((a - 300) * 7 + 3) % 12
+    return False
+
+
 def test_strong_components(spark):
     kg, at = build(spark, "ABCDEFG", [("A", "B", 1.0), ("B", "C", 1.0), ("C", "A", 1.0), ("C", "D", 1.0), ("D", "E", 1.0), ("E", "D", 1.0), ("E", "F", 1.0)])
     rows = {r["entity_id"]: r["component"] for r in kg.strongly_connected_components().collect()}
