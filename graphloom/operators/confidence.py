@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.runtime import cut, near
+
 DECAY, BONUS, DAY = 0.05, 0.1, 86_400
 
 
@@ -45,13 +47,17 @@ def dependents_of(dependencies: DataFrame, entity_id: int) -> DataFrame:
 
 
 def ripple(dependencies: DataFrame, origin: int, penalty: float, hops: int = 2, factor: float = 0.5) -> DataFrame:
-    """entity_id, hop, penalty of what depends on the origin, directly or through one more; the smallest hop counts once."""
-    links = dependencies.where("dep_type = 'depends_on'").select(F.col("target_id").alias("on"), F.col("source_id").alias("entity_id")).distinct()
-    spark = dependencies.sparkSession
-    frontier = spark.createDataFrame([(origin,)], "entity_id long")
+    """entity_id, hop, penalty of what depends on the origin, directly or through one more; the smallest hop counts once.
+
+    A hop computes only the links to what the last one reached.
+    """
+    links = dependencies.where("dep_type = 'depends_on'").select(F.col("target_id").alias("on"), F.col("source_id").alias("entity_id"))
+    frontier, rows = dependencies.sparkSession.range(1).select(F.lit(origin).cast("long").alias("entity_id")), 1
     seen, out = frontier, None
     for h in range(1, hops + 1):
-        frontier = links.join(frontier.select(F.col("entity_id").alias("on")), "on").select("entity_id").distinct().join(seen, "entity_id", "left_anti")
+        on = near(frontier.select(F.col("entity_id").alias("on")), rows)
+        frontier = cut(links.join(on, "on", "left_semi").select("entity_id").distinct().join(seen, "entity_id", "left_anti"), F.count("*").alias("n"))
+        rows = frontier.told["n"]
         seen = seen.unionByName(frontier)
         part = frontier.select("entity_id", F.lit(h).alias("hop"), F.lit(penalty * factor**h).alias("penalty"))
         out = part if out is None else out.unionByName(part)
