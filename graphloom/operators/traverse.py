@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.runtime import cut
+from graphloom.runtime import cut, near
 from graphloom.schema import EntityNotFound, check_depth
 
 
@@ -36,24 +36,29 @@ def edges(relations: DataFrame, direction: Direction, rel_types: list[str] | Non
     return {Direction.OUTGOING: out, Direction.INCOMING: back, Direction.BOTH: out.unionByName(back)}[direction]
 
 
-def levels(start: int, links: DataFrame, depth: int) -> Iterator[DataFrame]:
+def levels(start: int, links: DataFrame, depth: int, among: DataFrame | None = None) -> Iterator[DataFrame]:
     """The nodes first reached at each depth: id, key, parent, rel_type, weight, depth; level 0 is the start.
 
     A level is checkpointed before the next one is planned, so plans don't grow with the depth; levels end
-    early when nothing new is reached.
+    early when nothing new is reached. Only links of the frontier are computed. With among (id), other nodes are
+    not reached; just the new ones are looked up in it.
     """
-    spark = links.sparkSession
-    frontier = spark.createDataFrame([(start,)], "id long").select(
-        "id", F.array().cast("array<bigint>").alias("key"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("rel_type"), F.lit(None).cast("double").alias("weight"), F.lit(0).alias("depth")
+    rows = 1
+    frontier = links.sparkSession.range(1).select(
+        F.lit(start).cast("long").alias("id"), F.array().cast("array<bigint>").alias("key"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("rel_type"), F.lit(None).cast("double").alias("weight"), F.lit(0).alias("depth")
     )
     yield frontier
     seen = frontier.select("id")
     for level in range(1, depth + 1):
-        step = links.join(frontier.select(F.col("id").alias("node"), F.col("key").alias("pkey")), "node")
+        step = links.join(near(frontier.select(F.col("id").alias("node")), rows), "node", "left_semi").join(near(frontier.select(F.col("id").alias("node"), F.col("key").alias("pkey")), rows), "node")
         best = step.groupBy(F.col("far").alias("id")).agg(F.min(F.struct(F.concat("pkey", F.array("dir", "rel_id")).alias("key"), F.col("node").alias("parent"), "rel_type", "weight")).alias("w"))
-        frontier = cut(best.join(seen, "id", "left_anti").select("id", "w.key", "w.parent", "w.rel_type", "w.weight", F.lit(level).alias("depth")))
+        frontier = cut(best.join(seen, "id", "left_anti").select("id", "w.key", "w.parent", "w.rel_type", "w.weight", F.lit(level).alias("depth")), F.count("*").alias("n"))
+        if among is not None:
+            inside = cut(among.select("id").join(near(frontier.select("id"), frontier.told["n"]), "id", "left_semi"))
+            frontier = cut(frontier.join(inside, "id", "left_semi"), F.count("*").alias("n"))
+        rows = frontier.told["n"]
         yield frontier
-        if level == depth or frontier.isEmpty():
+        if level == depth or not rows:
             return
         seen = seen.unionByName(frontier.select("id"))
 
@@ -67,14 +72,14 @@ def require(entities: DataFrame, entity_id: int) -> None:
         raise EntityNotFound(entity_id)
 
 
-def neighbors(entities: DataFrame, relations: DataFrame, start: int, depth: int) -> DataFrame:
+def neighbors(entities: DataFrame, relations: DataFrame, start: int, depth: int, among: DataFrame | None = None) -> DataFrame:
     """Nodes within depth undirected hops, each once with the relation that discovered it; the start is excluded."""
     check_depth(depth, 5)
     require(entities, start)
-    reached = list(levels(start, edges(relations, Direction.BOTH), depth))[1:]
+    reached = list(levels(start, edges(relations, Direction.BOTH), depth, among))[1:]
     if not reached:
         return entities.select(F.col("id").alias("entity_id"), "entity_type", "name").withColumns({"depth": F.lit(0), "rel_type": F.lit(""), "weight": F.lit(0.0)}).limit(0)
-    return _union(reached).join(entities.select("id", "entity_type", "name"), "id").select(F.col("id").alias("entity_id"), "entity_type", "name", "depth", "rel_type", "weight")
+    return near(_union(reached), sum(r.told["n"] for r in reached)).join(entities.select("id", "entity_type", "name"), "id").select(F.col("id").alias("entity_id"), "entity_type", "name", "depth", "rel_type", "weight")
 
 
 def bfs(entities: DataFrame, relations: DataFrame, start: int, direction: Direction = Direction.OUTGOING, depth: int = 3, rel_types=None, min_weight=None) -> DataFrame:

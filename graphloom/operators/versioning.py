@@ -106,15 +106,13 @@ def version_relations(relations: DataFrame, slot: int, rel_type: str | None = No
 
 
 def version_neighbors(entities: DataFrame, relations: DataFrame, slot: int, start: int, depth: int) -> DataFrame:
-    """Neighbours over relations and entities of the version; none if the start is not in it."""
+    """Neighbours over relations and entities of the version; none if the start is not in it. Only what is reached is looked up in the version."""
     check_depth(depth, 5)
     e = version_entities(entities, slot)
     r = version_relations(relations, slot)
-    ids = e.select("id")
-    r = r.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     if e.where(F.col("id") == start).isEmpty():
         return traverse.neighbors(entities.where(F.col("id") == start), r.limit(0), start, depth)
-    return traverse.neighbors(e, r, start, depth)
+    return traverse.neighbors(e, r, start, depth, e)
 
 
 def diff(rows: DataFrame, first: int, second: int) -> DataFrame:

@@ -474,3 +474,35 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["user_id"], r["accesses"]) for r in spark.table("hits").collect()} == {(1, 2), (2, 1)}
+
+
+SMALLEST = "/root/testdata/sf0.001"
+
+
+def test_walks_compute_only_what_they_reach(spark):
+    """The graph is not kept whole for a walk, and a few nodes are looked up before links are aggregated."""
+    from pyspark.sql import functions as F
+
+    from graphloom.plans import registry
+    from graphloom.runtime import near
+
+    s = registry.source(spark, SMALLEST)
+    s._seen.clear()
+    for name in ("context", "find_related", "version_neighbors", "ripple", "ripple_log"):
+        assert registry.QUERIES[name](spark, SMALLEST).count()
+        assert not s._seen, name
+    few = spark.range(1).select(F.lit(registry.ORDER).alias("source_id"))
+    plan = s.relations("contains", "placed_by").join(near(few, 1), "source_id", "left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+def test_hyperedges_of_a_walk_are_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import hyper
+    from graphloom.plans import registry
+
+    edges = hyper.kept(registry.source(spark, SMALLEST).hyperedges())
+    assert hyper.kept(edges) is edges
+    path = hyper.path(edges, registry.CUSTOMER, hyper.bfs(edges, registry.CUSTOMER, 2).where("depth = 2").agg(F.max("entity_id")).first()[0], 3)
+    assert path.count() == 2
