@@ -523,3 +523,17 @@ def test_hypergraph_pagerank_by_blocks_equals_brute_force(spark):
         score = {x: v / sum(new.values()) for x, v in new.items()}
     found = {x[0]: x[1] for x in hyper.pagerank(table, iterations=2, block=20).collect()}
     assert found.keys() == score.keys() and max(abs(found[x] - score[x]) for x in nodes) < 1e-12
+
+
+def test_louvain_contracts_single_links_and_analyze_takes_its_components(spark):
+    r = random.Random(5)
+    ends = [(b * 10 + i, b * 10 + j) for b in range(3) for i in range(10) for j in range(10) if i != j and r.random() < 0.5] + [(0, 10), (11, 20), (21, 1)]
+    ends += [(40 + k, r.randrange(30)) for k in range(20)] + [(60 + k, 40 + k) for k in range(20)]  # nodes with one link each, two in a row
+    ends += [(90 + k, 90 + (k + 1) % 5) for k in range(5)]  # a small component
+    links = [(str(a), str(b), 1.0) for a, b in sorted(set(ends))]
+    kg, at = build(spark, [str(k) for k in range(100)], links)
+    got = {x["entity_id"]: x["community"] for x in algo.louvain(kg.entities, kg.relations, max_exact=10, whole=170).collect()}
+    assert len(got) == 100 and all(got[at[str(60 + k)]] == got[at[str(40 + k)]] for k in range(20))
+    assert len({got[at[str(k)]] for k in range(90, 95)}) == 1 and got[at["35"]] == at["35"]
+    row = algo.analyze(kg.entities, kg.relations, max_exact=10, whole=170).first()
+    assert (row["num_components"], row["largest_component"], row["num_communities"]) == (27, 70, len(set(got.values())))
